@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and the module that holds it.
 _QUERIES = {
+    "op2_secret_spans": "secrets",
     "op5_source_mix": "mixing",
+    "op7_quality_rules": "quality",
+    "op9_hilbert_shards": "sharding",
 }
 
 
