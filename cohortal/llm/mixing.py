@@ -74,28 +74,22 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
     slim = written(slim.select("doc_id", "source", "size", "text_hash", "key", "slice"))
     slices = slim.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     targets = source_targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.round(rest).cast("long"))
-    same = F.col("p.source").eqNullSafe(F.col("s.source"))
-    before = F.sum("words").over(Window.partitionBy("s.source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    ends = (
-        slices.alias("s").join(plan.alias("p"), same).withColumn("before", F.coalesce(before, F.lit(0)))
-        .where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
-        .select(F.col("s.source").alias("end_source"), F.col("slice").alias("end_slice"), "before")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    plan = targets.withColumn("epochs", epochs).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    before = F.sum("words").over(Window.partitionBy("p.source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    # Each slice is taken whole, or not at all, or is the one in which the budget ends.
+    slices = slices.alias("s").join(plan.alias("p"), F.col("p.source").eqNullSafe(F.col("s.source"))).select(
+        F.col("p.source").alias("in_source"), F.col("slice").alias("in_slice"), "source_size", "target", "epochs",
+        (F.col("rest") - F.coalesce(before, F.lit(0))).alias("left"), "words",
     )
-    plan = plan.join(ends, F.col("source").eqNullSafe(F.col("end_source")), "left").drop("end_source")
-    rows = slim.alias("s").join(plan.alias("p"), same).drop(F.col("p.source"))
-    whole = rows.where(~F.coalesce(F.col("slice") == F.col("end_slice"), F.lit(False))).withColumn(
-        "part", F.when(F.col("end_slice").isNull() | (F.col("slice") < F.col("end_slice")), F.col("size")).otherwise(0)
-    )
-    whole = whole.withColumn("part", F.when(F.col("rest") > 0, F.col("part")).otherwise(0))
-    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    missing = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0))
+    rows = slim.join(slices, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("slice") == F.col("in_slice")))
+    whole = rows.where((F.col("left") <= 0) | (F.col("words") <= F.col("left"))).withColumn("part", F.when(F.col("left") > 0, F.col("size")).otherwise(0))
+    order = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    missing = F.col("left") - F.coalesce(F.sum("size").over(order), F.lit(0))
     taken = F.least("size", F.greatest("missing", F.lit(0)))
     if boundary == "nearest":
-        taken = F.when(F.col("missing") * 2 >= F.col("size"), F.col("size")).otherwise(0)
-        taken = F.when(F.col("missing") > 0, taken).otherwise(0)
-    last = rows.where(F.col("slice") == F.col("end_slice")).withColumn("missing", missing).withColumn("part", taken)
+        taken = F.when((F.col("missing") > 0) & (F.col("missing") * 2 >= F.col("size")), F.col("size")).otherwise(0)
+    last = rows.where((F.col("left") > 0) & (F.col("words") > F.col("left"))).withColumn("missing", missing).withColumn("part", taken)
     out = [*(F.col(c) for c in ("doc_id", "source", "size", "source_size", "target")), F.col("epochs").cast("int").alias("epochs")]
     took = (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
     return whole.select(*out, took).unionByName(last.select(*out, took))
