@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and the module that holds it.
 _QUERIES = {
+    "op1_token_store": "token_store",
     "op2_secret_spans": "secrets",
+    "op4_packed_sequences": "packing",
     "op5_source_mix": "mixing",
     "op7_quality_rules": "quality",
     "op9_hilbert_shards": "sharding",
+    "op10_permutation_neighbours": "neighbours",
 }
 
 
