@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = {
     "op1_token_store": "token_store",
     "op2_secret_spans": "secrets",
+    "op3_near_duplicates": "near_duplicates",
     "op4_packed_sequences": "packing",
     "op5_source_mix": "mixing",
+    "op6_ppm_scores": "scoring",
     "op7_quality_rules": "quality",
     "op9_hilbert_shards": "sharding",
     "op10_permutation_neighbours": "neighbours",
