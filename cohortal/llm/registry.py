@@ -16,6 +16,7 @@ _QUERIES = {
     "op5_source_mix": "mixing",
     "op6_ppm_scores": "scoring",
     "op7_quality_rules": "quality",
+    "op8_main_text": "html_text",
     "op9_hilbert_shards": "sharding",
     "op10_permutation_neighbours": "neighbours",
 }
