@@ -58,17 +58,21 @@ def text_features(text: str | None) -> tuple[int, int, int, int, int, int, int,
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts of ``text_features`` and their shares, for each row of ``docs``."""
+def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the counts of ``text_features`` and their shares, for each row of ``docs``.
+
+    Columns in ``carry`` come along unchanged.
+    """
+    names = ["doc_id", "lang", "source", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_features(t.as_py()) for t in batch.column(3)]
+            rows = [text_features(t.as_py()) for t in batch.column(0)]
             counts = [pa.array(x, pa.int64()) for x in zip(*rows)] or [pa.array([], pa.int64())] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *counts], ["doc_id", "lang", "source", *COUNTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *counts], [*names, *COUNTS])
 
-    keys = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "lang", "source"))
-    counted = docs.select("doc_id", "lang", "source", "text").mapInArrow(run, f"{keys}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    counted = docs.select(F.col("text").alias("_text"), *names).mapInArrow(run, f"{kept}, " + ", ".join(f"{c} bigint" for c in COUNTS))
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return counted.withColumns(
         {
@@ -110,7 +114,10 @@ def judge(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     judged alike and each kept in the result; an empty table gives no rows.
     """
     rows = written(features(docs))
-    cut = cutoffs(rows, least_group)
+    return _judged(rows, cutoffs(rows, least_group))
+
+
+def _judged(rows: DataFrame, cut: DataFrame) -> DataFrame:
     joined = rows.join(cut, F.col("lang").eqNullSafe(F.col("cut_lang")) & F.col("source").eqNullSafe(F.col("cut_source")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     reasons = F.array_compact(F.array(*[F.when(F.col(c) > F.col(f"{c}_most"), F.lit(c)) for c in FENCES]))
@@ -118,6 +125,17 @@ def judge(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).drop("cut_lang", "cut_source")
 
 
+def kept_documents(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``judge`` keeps.
+
+    Texts are read twice, once for the sketches and once for the verdicts, and never shuffled.
+    """
+    cut = cutoffs(written(features(docs)), least_group)
+    again = docs.select("doc_id", "lang", "source", "text", *[F.col(c).alias(f"_in_{c}") for c in docs.columns])
+    kept = _judged(features(again, tuple(f"_in_{c}" for c in docs.columns)), cut).where("kept")
+    return kept.select([F.col(f"_in_{c}").alias(c) for c in docs.columns])
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all documents."""
     return judge(table(spark, sf_dir, "documents")).select("doc_id", *COUNTS[:5], "base_failed", "kept", "reasons")

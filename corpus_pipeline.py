@@ -1,14 +1,92 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
+kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortal.llm.mixing import label_weights, mix
+from cohortal.llm.near_duplicates import near_duplicates
+from cohortal.llm.packing import pack
+from cohortal.llm.quality import kept_documents
+from cohortal.llm.secrets import redact
+from cohortal.llm.shared import shared_folder, ship, table, written
+from cohortal.llm.tokens import vocabulary_path
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, written so that it stays."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _verdict_input(rows: DataFrame) -> DataFrame:
+    """Rows known by their number instead of their id, so that ids may be null or repeated."""
+    return rows.withColumn("doc_id", F.col("_row"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Only documents that the quality rules keep."""
+    ship(spark)
+    return kept_documents(docs)
+
+
+def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: the one with the least id (null ids last)."""
+    ship(spark)
+    rows = _numbered(docs)
+    found = near_duplicates(_verdict_input(rows)).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    ids = found.join(rows.select("_row", F.col("doc_id").alias("_id")), "_row")
+    first = ids.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"].alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(docs.columns)
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in their texts replaced."""
+    ship(spark)
+    return redact(docs).select(docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a document stands in it as often as it is taken, whole each time."""
+    ship(spark)
+    rows = _numbered(docs)
+    weights = label_weights(table(spark, sf_dir, "labels"))
+    known = rows.select("_row", "doc_id").join(weights, "doc_id").select(F.col("_row").alias("doc_id"), "quality_weight")
+    taken = mix(_verdict_input(rows), known, boundary="nearest")
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    times = taken.select(F.col("doc_id").alias("_row"), copies.alias("_times")).where("_times > 0")
+    return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    ship(spark)
+    return pack(docs, vocabulary_path("byte_bpe_50k.json"))
+
+
+#: Name and function of each stage, in order.
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicate_removal),
+    ("secret_scans", secret_redaction),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", sequence_packing),
+]
+
+#: SQL cannot state these stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages, one after another, over the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    base = shared_folder(spark)
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"{base}/{i}")
     return docs
