@@ -54,11 +54,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The mix of sources: a document stands in it as often as it is taken, whole each time."""
     ship(spark)
     rows = _numbered(docs)
-    weights = label_weights(table(spark, sf_dir, "labels"))
-    known = rows.select("_row", "doc_id").join(weights, "doc_id").select(F.col("_row").alias("doc_id"), "quality_weight")
-    taken = mix(_verdict_input(rows), known, boundary="nearest")
+    taken = mix(rows, label_weights(table(spark, sf_dir, "labels")), boundary="nearest", carry=("_row",))
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    times = taken.select(F.col("doc_id").alias("_row"), copies.alias("_times")).where("_times > 0")
+    times = taken.select("_row", copies.alias("_times")).where("_times > 0")
     return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
 
 
