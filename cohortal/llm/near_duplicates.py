@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortal.llm.shared import table, written
+from cohortal.llm.shared import table, whole_texts, written
 
 SHINGLE = 5
 #: A link has 100 * intersection >= PERCENT * union.
@@ -52,7 +52,7 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """For each text the sorted 64-bit hashes of its distinct shingles; none for null or wordless texts."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(whole_texts(texts)))
     words = lists.flatten()
     real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
     starts = np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]

@@ -7,6 +7,8 @@ import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def written(df: DataFrame, folder: str | None = None, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def whole_texts(texts: pa.Array) -> pa.Array:
+    """Texts as a large-string array of their own, null as empty. Arrow's splitting functions misread slices of another array."""
+    return pc.fill_null(texts.take(pa.array(range(len(texts)), pa.int64())).cast(pa.large_string()), "")
+
+
 def unit_hash(*cols: Column | str) -> Column:
     """A number in (0, 1) drawn by hash from columns; the same on each run."""
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from cohortal.llm.shared import whole_texts
+
 #: Pieces a worker remembers before its memo starts anew, and text bytes cut at a time.
 MEMO_PIECES = 800_000
 BLOCK_BYTES = 6_000_000
@@ -135,13 +137,12 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order, as unsigned 32-bit integers; null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        size = np.cumsum(pc.binary_length(texts).to_numpy())
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
         begin = 0
         while begin < len(texts):
             done = size[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(size, done + BLOCK_BYTES, "right")))
-            yield from self._block(texts[begin:end])
+            yield from self._block(whole_texts(texts[begin:end]))
             begin = end
 
 
