@@ -119,7 +119,9 @@ class Encoder:
             texts = pc.replace_substring(pc.replace_substring(texts, " ", _CUT + " "), "\n", _CUT + "\n" + _CUT)
             lists = pc.split_pattern(texts, _CUT)
         else:
-            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            # This vocabulary drops white space and case; a letter and punctuation are never one token.
+            texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+            lists = pc.split_pattern(pc.replace_substring_regex(texts, r"(\pL)([,.])", r"\1 \2"), " ")
         coded = lists.flatten().dictionary_encode()
         if len(self._memo) > MEMO_PIECES:
             self._reset()
