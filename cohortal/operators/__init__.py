@@ -1,0 +1 @@
+"""Operators on DataFrames in long form."""
