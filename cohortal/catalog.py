@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "group_sizes"
+from cohortal.plans import statistics, structure
+
+FLAGSHIP = "welch_by_brand"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"group_sizes": lambda spark, d: spark.read.parquet(f"{d}/nation.parquet").groupBy("n_regionkey").count()}
+    return statistics.QUERIES | structure.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"group_sizes": "SELECT n_regionkey, count(*) AS count FROM nation GROUP BY 1"}
+    return statistics.SQL | structure.SQL

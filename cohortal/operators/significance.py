@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cohortal.functions.numeric import average_rank, normal_upper_tail, ordinal_rank
 
-ALL = Window.partitionBy()
+
+def everywhere() -> WindowSpec:
+    return Window.partitionBy()
 
 
 def q_values(df: DataFrame, p: str = "p", position: str = "pos", pi0: float = 1.0, *by: str) -> DataFrame:
@@ -18,19 +20,19 @@ def q_values(df: DataFrame, p: str = "p", position: str = "pos", pi0: float = 1.
 
 def q_values_midrank(df: DataFrame, p: str = "p", position: str = "pos") -> DataFrame:
     """Adds ``q`` with half a rank taken off."""
-    return df.withColumn("q", F.col(p) / F.greatest(F.col(p), (ordinal_rank(p, position) - 0.5) / F.count("*").over(ALL)))
+    return df.withColumn("q", F.col(p) / F.greatest(F.col(p), (ordinal_rank(p, position) - 0.5) / F.count("*").over(everywhere())))
 
 
 def q_values_distinct(df: DataFrame, p: str = "p") -> DataFrame:
     """Adds ``q`` with tied p-values counted as one level."""
     ranked = df.withColumn("_level", F.dense_rank().over(Window.orderBy(p))).withColumn("_rank", average_rank(p))
-    q = F.col(p) / F.greatest(F.col(p), (F.col("_rank") - 0.5) / F.max("_level").over(ALL))
+    q = F.col(p) / F.greatest(F.col(p), (F.col("_rank") - 0.5) / F.max("_level").over(everywhere()))
     return ranked.withColumn("q", q).drop("_level", "_rank")
 
 
 def adjusted(df: DataFrame, method: str, p: str = "p", position: str = "pos") -> DataFrame:
     """Adds ``adjusted``: bonferroni, sidak, holm, holm-sidak, hochberg (simes-hochberg), fdr_bh or fdr_by."""
-    m = F.count("*").over(ALL)
+    m = F.count("*").over(everywhere())
     order = Window.orderBy(p, position)
     rank = F.row_number().over(order)
     upward = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -52,19 +54,19 @@ def adjusted(df: DataFrame, method: str, p: str = "p", position: str = "pos") ->
 
 def normal_p_values(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds ``p``, the upper normal tail by the column's own mean and population deviation, and ``r``, the fractional average rank."""
-    z = (F.col(value) - F.avg(value).over(ALL)) / F.stddev_pop(value).over(ALL)
-    return df.withColumn("p", normal_upper_tail(z)).withColumn("r", average_rank(value) / F.count("*").over(ALL))
+    z = (F.col(value) - F.avg(value).over(everywhere())) / F.stddev_pop(value).over(everywhere())
+    return df.withColumn("p", normal_upper_tail(z)).withColumn("r", average_rank(value) / F.count("*").over(everywhere()))
 
 
 def fractional_rank(df: DataFrame, value: str, position: str) -> DataFrame:
     """Adds ``fraction``: place in order, counted from one half, over the number of rows."""
-    return df.withColumn("fraction", (ordinal_rank(value, position) - 0.5) / F.count("*").over(ALL))
+    return df.withColumn("fraction", (ordinal_rank(value, position) - 0.5) / F.count("*").over(everywhere()))
 
 
 def value_at_percentile(df: DataFrame, value: str, position: str, percentile: float) -> DataFrame:
     """One row: the value whose fractional rank is the percentile's, else the mean of the two nearest."""
     ranked = fractional_rank(df, value, position)
-    target = F.least(F.greatest(F.lit(percentile / 100.0), F.min("fraction").over(ALL)), F.max("fraction").over(ALL))
+    target = F.least(F.greatest(F.lit(percentile / 100.0), F.min("fraction").over(everywhere())), F.max("fraction").over(everywhere()))
     apart = ranked.withColumn("_apart", F.round(F.abs(F.col("fraction") - target), 12))
     nearest = apart.orderBy("_apart", "fraction").limit(2)
     exact = F.max(F.when(F.col("_apart") == 0, F.col(value)))
@@ -74,7 +76,7 @@ def value_at_percentile(df: DataFrame, value: str, position: str, percentile: fl
 def rank_distinct_share(df: DataFrame, value: str) -> DataFrame:
     """Adds ``share``: average rank less one half, over the number of distinct values."""
     level = df.withColumn("_level", F.dense_rank().over(Window.orderBy(value)))
-    return level.withColumn("share", (average_rank(value) - 0.5) / F.max("_level").over(ALL)).drop("_level")
+    return level.withColumn("share", (average_rank(value) - 0.5) / F.max("_level").over(everywhere())).drop("_level")
 
 
 def equalised(df: DataFrame, value: str, *by: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_words(a: Column, b: Column) -> Column:
@@ -20,7 +21,7 @@ def best_match(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     return scored.groupBy(a).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(b).alias("b"))).alias("m")).select(a, F.col("m.b").alias(b), (-F.col("m.s")).alias("score"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def global_alignment(a: pd.Series, b: pd.Series) -> pd.Series:
     """Global alignment score: 2 for a match, -2 for each gap; null for a null text."""
 
