@@ -4,10 +4,11 @@ Texts with the same set of shingles are one class from the start. MinHash sample
 of a class are banded, and folded into an odd sketch: a bitmap in which each
 sample flips one bit, so that the population count of the XOR of two sketches
 estimates how many samples differ. In a bucket, members that sketches call alike
-are joined to a forest, never emitted as all pairs: a forest whose edges hold
-connects them. Each edge is confirmed on full sets. Where an edge does not hold and
-its ends are still apart, the bucket is searched again among members of different
-components, deeper each time, until no untested pair that sketches call alike is left.
+are joined to a forest, never emitted as all pairs, and each edge is confirmed on
+full sets. If all hold, the forest connects what can be linked. Where an edge does
+not hold and its ends are still apart, the bucket's members come together once
+more with their full sets, and those outside its largest component are held
+against all others, exactly; only links leave the task.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ SKETCH_BITS, ALIKE = 256, 86
 STRONG = 40
 #: The first bands' edges are tested first; they form nearly all components.
 FIRST_BANDS = 8
+#: Edges that one task joins at most, about 100 MB; larger graphs are joined by rounds of all tasks.
+SMALL_GRAPH = 500_000
 #: Bits of the filter of classes whose sets are read again.
 FILTER_BITS = 1 << 26
 
@@ -142,22 +145,27 @@ def bucket_forest(sketches: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def bucket_pairs(keys: np.ndarray, sketches: np.ndarray, components: np.ndarray, tested: list, depth: int) -> list[tuple[int, int]]:
-    """For each member outside the largest component its ``depth`` most alike untested members of other components."""
-    names, size = np.unique(components, return_counts=True)
-    pairs = []
-    for i in np.flatnonzero(components != names[size.argmax()]) if len(names) > 1 else ():
-        open_ = components != components[i]
-        if tested[i]:
-            open_ &= ~np.isin(keys, tested[i])
-        others = np.flatnonzero(open_)
-        apart = _apart(sketches[i], sketches[others])
-        pairs += [(int(i), int(j)) for j in others[np.argsort(apart, kind="stable")][: min(depth, (apart <= ALIKE).sum())]]
-    return pairs
-
-
-def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (null for an empty set), sketch, bands for each row."""
+def bucket_links(sets: list[np.ndarray], components: np.ndarray) -> list[tuple[int, int]]:
+    """Links on full sets between members of different components, one for each member outside the largest and each other component."""
+    names, at, size = np.unique(components, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return []
+    lens = np.array([len(s) for s in sets])
+    begin = np.cumsum(lens) - lens
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mine, links = np.zeros(len(values), np.int32), []
+    for i in np.flatnonzero(at != size.argmax()):
+        own = ids[begin[i] : begin[i] + lens[i]]
+        mine[own] = 1
+        both = np.add.reduceat(mine[ids], begin)
+        mine[own] = 0
+        linked = np.flatnonzero((100 * both >= PERCENT * (lens + lens[i] - both)) & (at != at[i]))
+        links += [(int(i), int(linked[k])) for k in np.unique(at[linked], return_index=True)[1]]
+    return links
+
+
+def profile(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, key (null for an empty set), sketch, bands and the ``carry`` columns for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -171,54 +179,65 @@ def profile(docs: DataFrame) -> DataFrame:
                     for i, mark, band in zip(full, odd_sketches(samples), band_keys(samples)):
                         keys[i], marks[i], bands[i] = set_key(sets[i]), mark.tobytes(), band
                 columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "key", "sketch", "bands"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, key bigint, sketch binary, bands array<bigint>")
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *columns], ["doc_id", *carry, "n_shingles", "key", "sketch", "bands"])
 
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, f"{kinds}, n_shingles bigint, key bigint, sketch binary, bands array<bigint>")
 
-def _by_bucket(depth: int):
-    """Rows sorted by bucket to candidate edges; ``depth`` 0: forests, else pairs of different components."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def found(rows: pa.Table) -> pa.RecordBatch:
-            bucket, key = rows["bucket"].to_numpy(), rows["key"].to_numpy()
-            sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(key), -1)
-            cut = np.flatnonzero(np.diff(bucket)) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])
-            out: list[tuple[int, int, int]] = []
-            if depth:
-                component, tested = rows["component"].to_numpy(), rows["tested"].to_pylist()
-            pairs_of_two = np.flatnonzero(ends - starts == 2) if not depth else ()
-            if len(pairs_of_two):
-                a = starts[pairs_of_two]
-                alike = np.bitwise_count(sketch[a] ^ sketch[a + 1]).sum(1) <= ALIKE
-                out += zip(bucket[a[alike]].tolist(), key[a[alike]].tolist(), key[a[alike] + 1].tolist())
-            for k in np.flatnonzero(ends - starts > (1 if depth else 2)):
-                s = slice(starts[k], ends[k])
-                edges = bucket_pairs(key[s], sketch[s], component[s], tested[s.start : s.stop], depth) if depth else bucket_forest(sketch[s])
-                out += [(int(bucket[s.start]), int(key[s][i]), int(key[s][j])) for i, j in edges]
-            b, x, y = (np.array(c, np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-            return pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["bucket", "a", "b"])
-
-        for batch in batches:  # a bucket may go on in the next batch
-            if not batch.num_rows:
-                continue
-            bucket = batch.column(0).to_numpy()
-            last = int(np.searchsorted(bucket != bucket[-1], False)) if bucket[0] == bucket[-1] else int(np.flatnonzero(bucket != bucket[-1])[-1] + 1)
-            if held and held[-1].column(0)[-1].as_py() != bucket[0]:
-                yield found(pa.Table.from_batches(held))
-                held = []
-            if last:
-                yield found(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield found(pa.Table.from_batches(held))
-
-    return run
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, in tables that hold whole buckets."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket = batch.column(0).to_numpy()
+        if held and held[-1].column(0)[-1].as_py() != bucket[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = len(bucket) - int((bucket[::-1] != bucket[-1]).argmax()) if bucket[0] != bucket[-1] else 0
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _ranges(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    return np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])
+
+
+def _edges(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    b, x, y = (np.array(c, np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    return pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["bucket", "a", "b"])
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, key, sketch to the edges of each bucket's forest."""
+    for rows in _buckets(batches):
+        bucket, key = rows["bucket"].to_numpy(), rows["key"].to_numpy()
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(key), -1)
+        starts, ends = _ranges(bucket)
+        a = starts[ends - starts == 2]
+        a = a[np.bitwise_count(sketch[a] ^ sketch[np.minimum(a + 1, len(key) - 1)]).sum(1) <= ALIKE]
+        out = list(zip(bucket[a].tolist(), key[a].tolist(), key[np.minimum(a + 1, len(key) - 1)].tolist()))
+        for k in np.flatnonzero(ends - starts > 2):
+            s = slice(starts[k], ends[k])
+            out += [(int(bucket[s.start]), int(key[s][i]), int(key[s][j])) for i, j in bucket_forest(sketch[s])]
+        yield _edges(out)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, key, component, shingles to the links between components of each bucket."""
+    for rows in _buckets(batches):
+        bucket, key, component = (rows[c].to_numpy() for c in ("bucket", "key", "component"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
+        out = []
+        for a, b in zip(*_ranges(bucket)):
+            out += [(int(bucket[a]), int(key[a + i]), int(key[a + j])) for i, j in bucket_links(sets[a:b], component[a:b])]
+        yield _edges(out)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +250,33 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a small graph, in one task, to node and least node."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(u), find(v)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(find, nodes), pa.int64())], ["node", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its least node) of the graph with edges (a, b), by alternating large and small stars."""
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    """node, component (its least node) of the graph with edges (a, b).
+
+    A graph of at most SMALL_GRAPH edges is joined in one task; a larger one by
+    alternating large and small stars. Both give the same rows.
+    """
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.count() <= SMALL_GRAPH:
+        return written(edges.coalesce(1).mapInArrow(_joined, "node bigint, component bigint"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -278,24 +321,25 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(found.groupBy("key").agg(F.first("shingles").alias("shingles")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """The near-duplicate component of every document.
 
-    ``docs``: doc_id and text; other columns are not read. Words are lower-cased in
+    ``docs``: doc_id and text; other columns are not read, but those in ``carry`` come along. Words are lower-cased in
     ASCII; the set of a text is its distinct 5-word shingles, or all its words as
-    one if there are fewer. Returns doc_id, n_shingles, component_id (the least
-    doc_id linked with it by a chain of links) and kept (whether it is that
+    one if there are fewer. Returns doc_id, those columns, n_shingles, component
+    (its name in this run; null without shingles), component_id (the least doc_id
+    linked with it by a chain of links) and kept (whether it is that
     document). Null, empty and wordless texts have no shingles and stand alone.
     Repeated rows are copies: linked, and kept alike if their id is the least.
     Null ids are linked but name no component unless no other id is in it. An
     empty table gives no rows.
     """
-    rows = written(profile(docs))
+    rows = written(profile(docs, carry))
     classes = written(rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     buckets = classes.select(F.explode("bands").alias("bucket"), "key", "sketch")
     n = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     schema = "bucket bigint, a bigint, b bigint"
-    candidates = written(buckets.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(0), schema))
+    candidates = written(buckets.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_forests, schema))
     wanted = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
     sets = _sets(docs, wanted)
 
@@ -315,29 +359,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = confirm(apart(candidates.where(number >= FIRST_BANDS).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), label))
     tested = written(tested.unionByName(more))
     label = components(tested.where("linked"))
-    depth = 1
-    while True:
-        failed = tested.where(~F.col("linked")).select("a", "b")
-        again = apart(candidates.join(failed, ["a", "b"], "left_semi"), label).select("bucket").distinct()
-        both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lists = both.groupBy(F.col("a").alias("key")).agg(F.collect_list("b").alias("tested"))
-        members = buckets.join(again, "bucket", "left_semi").join(label.select(F.col("node").alias("key"), "component"), "key", "left").join(lists, "key", "left")
-        members = members.select("bucket", "key", "sketch", F.coalesce("component", "key").alias("component"), "tested")
-        candidates = written(members.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(depth), schema))
-        if candidates.isEmpty():
-            break
-        more = confirm(candidates.select("a", "b").distinct())
-        tested = written(tested.unionByName(more))
-        label = components(tested.where("linked"))
-        depth *= 8
-
-    named = rows.select("doc_id", "n_shingles", "key").join(label.withColumnRenamed("node", "key"), "key", "left")
+    # Where an edge failed and its ends are still apart, full sets decide between all components of the bucket.
+    failed = tested.where(~F.col("linked")).select("a", "b")
+    again = written(apart(candidates.join(failed, ["a", "b"], "left_semi"), label).select("bucket").distinct())
+    members = classes.select(F.explode("bands").alias("bucket"), "key").join(again, "bucket", "left_semi")
+    members = members.join(label.select(F.col("node").alias("key"), "component"), "key", "left").join(sets, "key").select("bucket", "key", F.coalesce("component", "key").alias("component"), "shingles")
+    more = written(members.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_links, schema).select("a", "b").distinct())
+    if not more.isEmpty():
+        label = components(tested.where("linked").select("a", "b").unionByName(more))
+
+    named = rows.select("doc_id", *carry, "n_shingles", "key").join(label.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("component", F.coalesce("component", "key"))
     least = named.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", *carry, "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("component")

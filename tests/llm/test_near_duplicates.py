@@ -1,8 +1,6 @@
 import random
 
 import numpy as np
-from conftest import BASE
-
 from cohortal.llm import near_duplicates as N
 
 
@@ -91,8 +89,22 @@ def test_forest_connects_what_pairs_connect():
     assert groups["all"] == groups["forest"]
 
 
-def test_components(spark):
+def test_links_between_components():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 1 << 60, 100, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(base, 90, replace=False), rng.integers(0, 1 << 60, rng.integers(0, 30), dtype=np.uint64)])) for _ in range(40)]
+    part = rng.integers(0, 6, 40)
+    part[:20] = 0
+    want = {(part[i], part[j]) for i in range(40) for j in range(40) if part[i] != part[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    links = N.bucket_links(sets, part)
+    got = {(part[i], part[j]) for i, j in links} | {(part[j], part[i]) for i, j in links}
+    assert got == want | {(b, a) for a, b in want} and want
+
+
+def test_components(spark, monkeypatch):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 5), (5, 9), (4, 4)], "a long, b long")
     assert {r.node: r.component for r in N.components(links).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 7: 5, 8: 5, 9: 5}
     assert N.components(links.where("false")).count() == 0
-    assert BASE
+    monkeypatch.setattr(N, "SMALL_GRAPH", -1)  # as for a large graph
+    assert {r.node: r.component for r in N.components(links).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 7: 5, 8: 5, 9: 5}
+    assert N.components(links.where("false")).count() == 0
