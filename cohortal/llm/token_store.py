@@ -88,7 +88,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 def _codec():
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def encode(docs: DataFrame, vocabulary: str, keeps_space: bool, end_id: int | None, width: int) -> DataFrame:
