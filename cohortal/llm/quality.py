@@ -130,7 +130,7 @@ def kept_documents(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame
 
     Texts are read twice, once for the sketches and once for the verdicts, and never shuffled.
     """
-    cut = cutoffs(written(features(docs)), least_group)
+    cut = written(cutoffs(written(features(docs)), least_group))  # its size is known now, so that texts need no shuffle
     again = docs.select("doc_id", "lang", "source", "text", *[F.col(c).alias(f"_in_{c}") for c in docs.columns])
     kept = _judged(features(again, tuple(f"_in_{c}" for c in docs.columns)), cut).where("kept")
     return kept.select([F.col(f"_in_{c}").alias(c) for c in docs.columns])

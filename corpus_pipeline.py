@@ -6,7 +6,10 @@ kept; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortal.llm.mixing import label_weights, mix
@@ -18,14 +21,9 @@ from cohortal.llm.shared import shared_folder, ship, table, written
 from cohortal.llm.tokens import vocabulary_path
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number for each row, written so that it stays."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
-
-
-def _verdict_input(rows: DataFrame) -> DataFrame:
-    """Rows known by their number instead of their id, so that ids may be null or repeated."""
-    return rows.withColumn("doc_id", F.col("_row"))
+def _known(docs: DataFrame) -> DataFrame:
+    """The documents with a hash of their text: rows with the same id and hash are the same document."""
+    return docs.withColumn("_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +35,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the least id (null ids last)."""
     ship(spark)
-    rows = _numbered(docs)
-    found = near_duplicates(_verdict_input(rows)).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
-    ids = found.join(rows.select("_row", F.col("doc_id").alias("_id")), "_row")
-    first = ids.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"].alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(docs.columns)
+    rows = _known(docs)
+    found = near_duplicates(rows, carry=("_hash",)).select("doc_id", "_hash", "component")
+    # Without shingles a document stands alone; of others the first of each component stays.
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("m")).select("m.doc_id", "m._hash")
+    first = first.unionByName(found.where("component IS NULL").select("doc_id", "_hash")).distinct().withColumnsRenamed({"doc_id": "_id", "_hash": "_h"})
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    # The same document in several rows: one stays.
+    return kept.dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +54,17 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a document stands in it as often as it is taken, whole each time."""
     ship(spark)
-    rows = _numbered(docs)
-    taken = mix(rows, label_weights(table(spark, sf_dir, "labels")), boundary="nearest", carry=("_row",))
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    times = taken.select("_row", copies.alias("_times")).where("_times > 0")
-    return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    rows = _known(docs)
+    taken = mix(rows, label_weights(table(spark, sf_dir, "labels")), boundary="nearest", carry=("_hash",))
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
+    # Rows of the same document share their copies, the first rows taking what is over.
+    same = ["doc_id", "_hash", "source"]
+    times = taken.groupBy(*same).agg(F.sum(copies).alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0").withColumnsRenamed({c: f"_t{c}" for c in same})
+    joined = rows.join(times, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_t{c}")) for c in same]))
+    nth = F.row_number().over(Window.partitionBy(*[f"_t{c}" for c in same]).orderBy(F.lit(1)))
+    share = F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("long")
+    out = joined.withColumn("_times", share).where("_times > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
