@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +101,89 @@ def seeded_kmeans(points: DataFrame, centroids: list[list[float]], tolerance: fl
             break
         best = error
     return assigned.select("item", "cluster")
+
+
+def cut(tree: DataFrame, items: DataFrame, height: float) -> DataFrame:
+    """item, cluster of a linkage tree at a height."""
+    return numbered(components(tree.where(F.col("d") <= height).select("i", "j"), items))
+
+
+def level_edges(lower: DataFrame, upper: DataFrame) -> DataFrame:
+    """parent, child, items between the clusters of two levels (item, cluster), the upper one coarser."""
+    both = lower.withColumnRenamed("cluster", "child").join(upper.withColumnRenamed("cluster", "parent"), "item")
+    return both.groupBy("parent", "child").agg(F.count("*").alias("items"))
+
+
+#: Items that complete linkage takes; it is sequential by nature and runs in one task.
+COMPLETE_LIMIT = 1000
+
+
+def complete_linkage(pairs: DataFrame) -> DataFrame:
+    """step, members (sorted), height of each merge; the nearest clusters by their farthest pair merge first, ties to the first by order."""
+    n = both_ways(pairs).select("i").distinct().count()
+    if n > COMPLETE_LIMIT:
+        raise ValueError(f"{n} items; complete linkage takes at most {COMPLETE_LIMIT}")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
+        place = {x: k for k, x in enumerate(names)}
+        d = np.full((len(names), len(names)), np.inf)
+        for i, j, x in zip(pdf["i"], pdf["j"], pdf["d"]):
+            d[place[i], place[j]] = d[place[j], place[i]] = x
+        groups, rows = {k: [x] for k, x in enumerate(names.tolist())}, []
+        for step in range(len(names) - 1):
+            a, b = sorted(np.unravel_index(d.argmin(), d.shape))
+            rows.append((step, sorted(groups[a] + groups[b]), d[a, b]))
+            groups[a] += groups.pop(b)
+            far = np.maximum(d[a], d[b])
+            d[a], d[:, a] = far, far
+            d[b], d[:, b], d[a, a] = np.inf, np.inf, np.inf
+        return pd.DataFrame(rows, columns=["step", "members", "height"])
+
+    kind = pairs.schema["i"].dataType.simpleString()
+    return pairs.select("i", "j", "d", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, f"step int, members array<{kind}>, height double")
+
+
+def shared_neighbour_hierarchy(pairs: DataFrame, items: DataFrame, most: int = 50) -> list[tuple[int, int]]:
+    """(neighbours, clusters) for growing numbers of neighbours until one cluster is left."""
+    out = []
+    for k in range(1, most + 1):
+        n = components(nearest_neighbours(pairs, k).select("i", "j"), items).select("component").distinct().count()
+        out.append((k, n))
+        if n == 1:
+            break
+    return out
+
+
+def density_seeds(points: DataFrame, bins: int, above: float = 0.5) -> list[list[float]]:
+    """Centres of the bins of a plane (item, vec of two) that hold more than the mean and ``above`` deviations; bins squared at most."""
+    x = points.select(F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+    edge = x.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    bin_of = lambda c, lo, hi: F.least(F.lit(bins - 1), F.floor((F.col(c) - lo) * bins / max(hi - lo, 1e-300)))
+    counts = x.groupBy(bin_of("x", edge["x0"], edge["x1"]).alias("bx"), bin_of("y", edge["y0"], edge["y1"]).alias("by")).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    w = Window.partitionBy()
+    dense = counts.withColumn("least", F.sum("n").over(w) / bins**2 + above * F.stddev_pop("n").over(w)).where("n > least").orderBy("bx", "by").limit(bins * bins)
+    return [[r["x"], r["y"]] for r in dense.collect()]
+
+
+def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:
+    """item, owner: the centroid (label, centre) nearest to each point; ties to the first label. Centroids are a row a label."""
+    d = F.aggregate(F.zip_with("vec", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return points.join(centroids, F.lit(True), "cross").groupBy("item").agg(F.min(F.struct(d.alias("d"), "label"))["label"].alias("owner"))
+
+
+def golden_search(f: Callable[[float], float], low: float, high: float, tolerance: float = 1e-6) -> float:
+    """Where a function with one minimum between two bounds has it; each step is one evaluation, such as a job."""
+    ratio = (5**0.5 - 1) / 2
+    a, b = high - ratio * (high - low), low + ratio * (high - low)
+    fa, fb = f(a), f(b)
+    while high - low > tolerance:
+        if fa < fb:
+            high, b, fb = b, a, fa
+            a = high - ratio * (high - low)
+            fa = f(a)
+        else:
+            low, a, fa = a, b, fb
+            b = low + ratio * (high - low)
+            fb = f(b)
+    return (low + high) / 2

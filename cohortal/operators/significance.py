@@ -95,3 +95,24 @@ def moments(df: DataFrame, value: str, highest: int, *by: str) -> DataFrame:
     z = z_scores(df, value, *by)
     rest = [F.avg(F.pow("z", k)).alias(f"moment_{k}") for k in range(3, highest + 1)]
     return z.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), *rest)
+
+
+def rank_derivative_p(df: DataFrame, value: str, position: str) -> DataFrame:
+    """Adds ``slope``, the mean step of values, in order of position, among a row and its neighbours in rank, and ``p`` of its size, exponential about the mean.
+
+    The first in rank looks two places up, the last one place down.
+    """
+    w = Window.orderBy(value, position)
+    own = F.struct(F.col(position).alias("at"), F.col(value).alias("v"))
+    first = F.lag(own, 1).over(w).isNull()
+    around = F.array_compact(F.array(own, F.lag(own, 1).over(w), F.when(first, F.lead(own, 2).over(w)).otherwise(F.lead(own, 1).over(w))))
+    x = df.withColumn("_s", F.array_sort(around))
+    x = x.withColumn("slope", F.abs(F.element_at("_s", -1)["v"] - F.col("_s")[0]["v"]) / F.nullif((F.size("_s") - 1).cast("double"), F.lit(0.0))).drop("_s")
+    return x.withColumn("p", F.exp(-F.col("slope") / F.avg("slope").over(everywhere())))
+
+
+def leverage_p(df: DataFrame, feature: str, leverage: str) -> DataFrame:
+    """Adds ``p`` of log leverages, an upper normal tail, and ``rank_p``, the cumulative share of leverage from the largest down."""
+    x = normal_p_values(df.withColumn("_log", F.ln(leverage)), "_log").drop("_log", "r")
+    down = Window.orderBy(F.desc(leverage), feature).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return x.withColumn("rank_p", F.sum(leverage).over(down) / F.sum(leverage).over(everywhere()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,3 +44,25 @@ def removed(text: Column, parts: list[str]) -> Column:
     for p in parts:
         text = F.replace(text, F.lit(p), F.lit(""))
     return text
+
+
+@F.pandas_udf(T.DoubleType())
+def diagonal_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Best diagonal of the matrix of equal letters, damped by relative distance; the shorter text is repeated to the longer's length.
+
+    A diagonal counts as the square of its sum plus the sums beside it. Null for null or empty texts.
+    """
+
+    def one(s: str | None, t: str | None) -> float | None:
+        if not s or not t:
+            return None
+        short, long = sorted((s, t), key=len)
+        size, pad = len(long), (short * len(short))[: len(long)]
+        i, j = np.meshgrid(np.arange(len(pad)), np.arange(size), indexing="ij")
+        same = np.array(list(pad))[:, None] == np.array(list(long))[None, :]
+        w = np.where(same, np.log2(3.0), 0.0) / (np.log2(((i + 0.5) / len(pad) - (j + 0.5) / size) ** 2 + 1) + 1)
+        sums = np.bincount((j - i)[j >= i], w[j >= i], size)
+        beside = np.append(sums[1:], 0.0) + np.append(0.0, sums[:-1])
+        return float((sums**2 + beside).max() / 3 / (len(s) + len(t)) * len(short))
+
+    return pd.Series([one(s, t) for s, t in zip(a, b)])

@@ -360,3 +360,26 @@ def paired_keys(spark: SparkSession, d: str) -> DataFrame:
 def primes(spark: SparkSession, d: str) -> DataFrame:
     """Prime nation keys."""
     return D.read(spark, d, "nation").select(F.col("n_nationkey").alias("n"), N.is_prime(F.col("n_nationkey").cast("long")).alias("prime"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS pos, p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS r, count(*) OVER () AS n FROM part),
+ k AS (SELECT pos, r, n, unnest(CASE WHEN r = 0 THEN [0, 2] WHEN r = n - 1 THEN [n - 2, n - 1] ELSE [r - 1, r, r + 1] END) AS o FROM s),
+ d AS (SELECT k.pos, abs(arg_max(s.v, s.pos) - arg_min(s.v, s.pos)) / (count(*) - 1) AS slope FROM k JOIN s ON s.r = k.o GROUP BY 1)
+SELECT pos, round(slope, 4) AS slope, round(exp(-slope / avg(slope) OVER ()), 6) AS p FROM d""")
+def rank_deriv_p(spark: SparkSession, d: str) -> DataFrame:
+    """p-values of rank derivatives of prices."""
+    x = D.read(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("v"))
+    return rounded(rounded(G.rank_derivative_p(x, "v", "pos").drop("v"), "p"), "slope", places=4)
+
+
+@query("""WITH a AS (SELECT p_brand AS feature, sum(p_retailprice) AS lev FROM part GROUP BY 1) SELECT feature, round(sum(lev) OVER (ORDER BY lev DESC, feature) / sum(lev) OVER (), 6) AS rank_p FROM a""")
+def leverage_p(spark: SparkSession, d: str) -> DataFrame:
+    """Cumulative leverage of brands."""
+    x = D.read(spark, d, "part").groupBy(F.col("p_brand").alias("feature")).agg(F.sum("p_retailprice").alias("lev"))
+    return rounded(G.leverage_p(x, "feature", "lev").select("feature", "rank_p"), "rank_p")
+
+
+@query()
+def diagonal_score(spark: SparkSession, d: str) -> DataFrame:
+    """Diagonal alignment score of part names and types."""
+    return D.read(spark, d, "part").select("p_partkey", T.diagonal_score("p_name", "p_type").alias("score"))

@@ -278,3 +278,27 @@ def rdf_hist(spark: SparkSession, d: str) -> DataFrame:
 def inverted_lists(spark: SparkSession, d: str) -> DataFrame:
     """Nations of each region as a list."""
     return E.inverted(D.read(spark, d, "nation"), "n_name", "n_regionkey")
+
+
+@query()
+def complete_linkage(spark: SparkSession, d: str) -> DataFrame:
+    """Complete linkage of a bounded set of embeddings."""
+    return K.complete_linkage(P.pair_distances(D.points(spark, d, 120), "item", "vec"))
+
+
+@query()
+def linkage_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of single linkage at one height inside those at a greater one."""
+    items = D.points(spark, d).select("item")
+    tree = K.spanning_tree(rounded(pairs(spark, d), "d"), items)
+    return K.level_edges(K.cut(tree, items, 1.0), K.cut(tree, items, CUTOFF))
+
+
+@query(f"""WITH {PAIRS.split(', pairs AS')[0]},
+ m AS (SELECT label, k, avg(vec[k]::DOUBLE) AS v FROM points, (SELECT unnest(range(1, 65)) AS k) GROUP BY 1, 2), d AS (SELECT p.item, m.label, sum((p.vec[m.k]::DOUBLE - m.v) * (p.vec[m.k]::DOUBLE - m.v)) AS d FROM points p, m GROUP BY 1, 2)
+SELECT item, CAST(arg_min(label, d) AS BIGINT) AS owner FROM d GROUP BY 1""")
+def centroid_owner(spark: SparkSession, d: str) -> DataFrame:
+    """The label whose centroid is nearest to each embedding."""
+    x = D.points(spark, d)
+    centre = x.groupBy("label").agg(F.array(*[F.avg(F.col("vec")[k]) for k in range(64)]).alias("centre"))
+    return K.nearest_centroid(x.select("item", "vec"), centre)

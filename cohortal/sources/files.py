@@ -84,3 +84,21 @@ def compartments(text: Column | str) -> Column:
 def node_json(nodes: DataFrame) -> DataFrame:
     """One JSON line a node."""
     return nodes.select(F.to_json(F.struct(*nodes.columns)).alias("value"))
+
+
+def read_inventory(spark: SparkSession, path: str, member: int = 0, group: int = 1, description: int | None = None, starts_with: str = "", only: DataFrame | None = None) -> DataFrame:
+    """gid, description, members from a file of one tab-separated member and group a line.
+
+    ``starts_with``: members begin so; ``only``: gid, the groups that are kept.
+    """
+    w = F.split("value", "\t")
+    rows = spark.read.text(path).select(F.get(w, F.lit(group)).alias("gid"), F.get(w, F.lit(member)).alias("member"), (F.get(w, F.lit(description)) if description is not None else F.lit("")).alias("description"))
+    rows = rows.where(F.col("gid").isNotNull() & F.col("member").startswith(starts_with))
+    rows = rows.join(only, "gid", "left_semi") if only is not None else rows
+    return rows.groupBy("gid").agg(F.min("description").alias("description"), F.sort_array(F.collect_set("member")).alias("members"))
+
+
+def remapped(groups: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Groups with members renamed by ``mapping`` (member, name); members without a name stay."""
+    long = groups.select("gid", "description", F.explode("members").alias("member")).join(mapping, "member", "left")
+    return long.groupBy("gid").agg(F.min("description").alias("description"), F.sort_array(F.collect_set(F.coalesce("name", "member"))).alias("members"))

@@ -182,3 +182,27 @@ def test_stream_equals_table(spark, tmp_path):
     shown = lambda df: sorted((r.series_id, str(r.start), r.n, round(r.value, 4)) for r in df.collect())
     assert shown(spark.table("w")) == shown(windows.windowed(events))
     assert windows.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_complete_linkage(spark):
+    pairs, items = distances(spark)
+    rows = K.complete_linkage(pairs).orderBy("step").collect()
+    assert [(r.members, r.height) for r in rows] == [([2, 4], 2.0), ([1, 3], 5.0), ([0, 1, 3], 9.0), ([0, 1, 2, 3, 4], 11.0)]
+    assert K.shared_neighbour_hierarchy(pairs, items)[-1][1] == 1
+
+
+def test_density_seeds_and_search(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 0.05, (50, 2)), rng.normal(1, 0.05, (50, 2))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, vec array<double>")
+    seeds = np.array(K.density_seeds(df, 3))
+    assert len(seeds) == 2 and np.allclose(seeds.mean(1), [0, 1], atol=0.1)
+    assert abs(K.golden_search(lambda v: (v - 0.3) ** 2, 0, 1) - 0.3) < 1e-5
+
+
+def test_inventory(spark, tmp_path):
+    (tmp_path / "i.tsv").write_text("ENSG1\tp1\tone [cell]\nENSG2\tp1\tone [cell]\nX3\tp1\tone\nENSG1\tp2\ttwo\n")
+    g = files.read_inventory(spark, str(tmp_path / "i.tsv"), 0, 1, 2, "ENSG")
+    assert {r.gid: r.members for r in g.collect()} == {"p1": ["ENSG1", "ENSG2"], "p2": ["ENSG1"]}
+    names = spark.createDataFrame([("ENSG1", "A")], "member string, name string")
+    assert {r.gid: r.members for r in files.remapped(g, names).collect()} == {"p1": ["A", "ENSG2"], "p2": ["A"]}
