@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortal.operators import graph
 from cohortal.operators.graph import components, settled
 from cohortal.operators.pairs import both_ways
 
@@ -42,7 +43,10 @@ def clustering_bounds(pairs: DataFrame) -> DataFrame:
 
 
 def spanning_tree(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """i, j, d of a minimum spanning forest, by Boruvka rounds; ties in order of i and j."""
+    """i, j, d of a minimum spanning forest, ties in order of i and j: in one task if there are few pairs, else by Boruvka rounds."""
+    pairs = settled(pairs)
+    if pairs.count() <= graph.SMALL_GRAPH:
+        return graph.small_spanning_tree(pairs)
     label = settled(items.select("item", F.col("item").alias("component")))
     tree = None
     while True:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,9 +91,60 @@ def containment_edges(groups: DataFrame) -> DataFrame:
     return held.join(implied, ["parent", "child"], "left_anti")
 
 
+#: Edges that one task joins at most, well under 200 MB; larger graphs take rounds of all tasks.
+SMALL_GRAPH = 500_000
+
+
+class Forest:
+    """Disjoint sets named by their least member."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def find(self, x):
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = self.parent[up]
+            x = up
+        return x
+
+    def join(self, u, v) -> bool:
+        """Whether the two were apart."""
+        a, b = sorted((self.find(u), self.find(v)))
+        self.parent[b] = a
+        return a != b
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    forest = Forest()
+    for edges in batches:
+        for u, v in zip(edges["u"].tolist(), edges["v"].tolist()):
+            forest.join(u, v)
+    nodes = list(forest.parent)
+    yield pd.DataFrame({"item": nodes, "component": [forest.find(x) for x in nodes]})
+
+
+def _spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    forest = Forest()
+    for edges in batches:
+        yield edges[[forest.join(u, v) for u, v in zip(edges["i"].tolist(), edges["j"].tolist())]]
+
+
+def small_spanning_tree(pairs: DataFrame) -> DataFrame:
+    """i, j, d of a minimum spanning forest of at most SMALL_GRAPH pairs, in one task, shortest first."""
+    return settled(pairs.select("i", "j", "d").coalesce(1).sortWithinPartitions("d", "i", "j").mapInPandas(_spanning, pairs.select("i", "j", "d").schema))
+
+
 def components(links: DataFrame, items: DataFrame) -> DataFrame:
-    """item, component (least item reachable) over undirected links (i, j); ``items``: item. Alternating stars, no driver-side union-find."""
-    edges = links.where("i <> j").select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct()
+    """item, component (least item reachable) over undirected links (i, j); ``items``: item.
+
+    A graph of at most SMALL_GRAPH edges is joined in one task, a larger one by
+    alternating stars; both give the same rows.
+    """
+    edges = settled(links.where("i <> j").select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct())
+    if edges.count() <= SMALL_GRAPH:
+        kind = edges.schema["u"].dataType.simpleString()
+        found = edges.coalesce(1).mapInPandas(_joined, f"item {kind}, component {kind}")
+        return items.join(found, "item", "left").select("item", F.coalesce("component", "item").alias("component"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

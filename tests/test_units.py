@@ -62,6 +62,15 @@ def test_components_by_cutoff(spark, cutoff, want):
     assert "".join(str(r.cluster) for r in K.connectivity(pairs, items, cutoff).orderBy("item").collect()) == want
 
 
+def test_large_graphs_take_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    links = [(rng.randrange(60), rng.randrange(60), float(rng.randrange(50))) for _ in range(45)]
+    df, items = spark.createDataFrame(links, "i long, j long, d double").where("i < j"), spark.range(60).withColumnRenamed("id", "item")
+    small = sorted(G.components(df, items).collect()), sorted(r.d for r in K.spanning_tree(df, items).collect())
+    monkeypatch.setattr(G, "SMALL_GRAPH", -1)
+    assert (sorted(G.components(df, items).collect()), sorted(r.d for r in K.spanning_tree(df, items).collect())) == small
+
+
 def test_hierarchy(spark):
     pairs, items = distances(spark)
     rows = K.hierarchy_levels(K.spanning_tree(pairs, items), 5).orderBy("level").collect()
