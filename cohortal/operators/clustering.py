@@ -118,30 +118,29 @@ def level_edges(lower: DataFrame, upper: DataFrame) -> DataFrame:
     return both.groupBy("parent", "child").agg(F.count("*").alias("items"))
 
 
-#: Items that complete linkage takes; it is sequential by nature and runs in one task.
-COMPLETE_LIMIT = 1000
-
-
 def complete_linkage(pairs: DataFrame) -> DataFrame:
-    """step, members (sorted), height of each merge; the nearest clusters by their farthest pair merge first, ties to the first by order."""
-    n = both_ways(pairs).select("i").distinct().count()
-    if n > COMPLETE_LIMIT:
-        raise ValueError(f"{n} items; complete linkage takes at most {COMPLETE_LIMIT}")
+    """step, members (sorted), height of each merge; the nearest clusters by their farthest pair merge first, ties to the first by order.
+
+    Sequential by nature: one task holds the square of all distances.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
-        place = {x: k for k, x in enumerate(names)}
         d = np.full((len(names), len(names)), np.inf)
-        for i, j, x in zip(pdf["i"], pdf["j"], pdf["d"]):
-            d[place[i], place[j]] = d[place[j], place[i]] = x
+        i, j = np.searchsorted(names, pdf["i"]), np.searchsorted(names, pdf["j"])
+        d[i, j] = d[j, i] = pdf["d"]
+        least = d.min(1)
         groups, rows = {k: [x] for k, x in enumerate(names.tolist())}, []
         for step in range(len(names) - 1):
-            a, b = sorted(np.unravel_index(d.argmin(), d.shape))
+            a = int(least.argmin())
+            b = int(d[a].argmin())
             rows.append((step, sorted(groups[a] + groups[b]), d[a, b]))
             groups[a] += groups.pop(b)
-            far = np.maximum(d[a], d[b])
+            far, stale = np.maximum(d[a], d[b]), np.flatnonzero(np.minimum(d[a], d[b]) <= least)
             d[a], d[:, a] = far, far
             d[b], d[:, b], d[a, a] = np.inf, np.inf, np.inf
+            stale = np.union1d(stale, [a, b])
+            least[stale] = d[stale].min(1)
         return pd.DataFrame(rows, columns=["step", "members", "height"])
 
     kind = pairs.schema["i"].dataType.simpleString()

@@ -2,16 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortal.functions.numeric import average_rank, vector_distance
+from cohortal.functions.numeric import average_rank
+
+#: Points of a block on average; pairs are made from two blocks at a time.
+BLOCK = 256
+
+
+def _block(points: pa.ListScalar) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Keys of a block's points, their vectors padded with zeros, and their lengths (-1: a null vector or one with a null)."""
+    key, rows = points.values.field("k"), points.values.field("v").to_pylist()
+    length = np.array([-1 if v is None or None in v else len(v) for v in rows])
+    x = np.zeros((len(rows), max(0, length.max())))
+    for r, v in enumerate(rows):
+        if length[r] > 0:
+            x[r, : length[r]] = v
+    return key, x, length
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for same, left, right in zip(batch.column("same"), batch.column("a"), batch.column("b")):
+            (i, x, m), (j, y, n) = _block(left), _block(right)
+            width = max(x.shape[1], y.shape[1])
+            x, y = (np.pad(z, ((0, 0), (0, width - z.shape[1]))) for z in (x, y))
+            square = np.zeros((len(x), len(y)))
+            for k in range(width):  # one dimension after another, in the order of the vectors
+                step = x[:, k, None] - y[None, :, k]
+                square += step * step
+            known = (m[:, None] == n[None, :]) & (m >= 0)[:, None]
+            a, b = np.array(i.to_pylist()), np.array(j.to_pylist())
+            below, above = a[:, None] < b[None, :], (a[:, None] > b[None, :]) & (not same.as_py())
+            for at, first, second in ((np.nonzero(below), 0, 1), (np.nonzero(above), 1, 0)):
+                sides = i.take(pa.array(at[0])), j.take(pa.array(at[1]))
+                yield pa.RecordBatch.from_arrays([sides[first], sides[second], pa.array(np.sqrt(square[at]), mask=~known[at])], ["i", "j", "d"])
 
 
 def pair_distances(points: DataFrame, key: str = "id", vector: str = "vec") -> DataFrame:
-    """i, j, d (Euclidean) for i < j of a bounded point set."""
-    a, b = points.select(F.col(key).alias("i"), F.col(vector).alias("_a")), points.select(F.col(key).alias("j"), F.col(vector).alias("_b"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", vector_distance(F.col("_a"), F.col("_b")).alias("d"))
+    """i, j, d (Euclidean) for i < j of all points, made from pairs of blocks; d is null where a vector is null or lengths differ."""
+    x = points.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    n = max(1, -(-x.count() // BLOCK))
+    blocks = x.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias("p")).agg(F.collect_list(F.struct("k", "v")).alias("a"))
+    spark = points.sparkSession
+    two = spark.range(n).select(F.col("id").alias("p"), F.explode(F.sequence(F.col("id"), F.lit(n - 1).cast("long"))).alias("q"))
+    both = two.join(blocks, "p").join(blocks.withColumnsRenamed({"p": "q", "a": "b"}), "q").select((F.col("p") == F.col("q")).alias("same"), "a", "b")
+    tasks = max(spark.sparkContext.defaultParallelism, n * (n + 1) // 16)
+    kind = points.schema[key].dataType.simpleString()
+    return both.repartition(tasks).mapInArrow(_distances, f"i {kind}, j {kind}, d double")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT i, j, round(d, 6) AS d FROM pairs")
 def pair_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of a bounded set of embeddings."""
+    """Distances of all embeddings."""
     return rounded(pairs(spark, d), "d")
 
 
@@ -282,8 +282,8 @@ def inverted_lists(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def complete_linkage(spark: SparkSession, d: str) -> DataFrame:
-    """Complete linkage of a bounded set of embeddings."""
-    return K.complete_linkage(P.pair_distances(D.points(spark, d, 120), "item", "vec"))
+    """Complete linkage of all embeddings."""
+    return K.complete_linkage(P.pair_distances(D.points(spark, d), "item", "vec"))
 
 
 @query()

@@ -55,10 +55,9 @@ def marked_parts(spark: SparkSession, d: str) -> DataFrame:
     return line.select("member", (F.col("r") > 0.4).alias("hit"))
 
 
-def points(spark: SparkSession, d: str, most: int = 400) -> DataFrame:
-    """item, vec, label of the embeddings with an id below ``most``: pair tables are for bounded sets of points."""
-    e = read(spark, d, "embeddings").where(F.col("vec_id") < most)
-    return e.select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("long").alias("label"))
+def points(spark: SparkSession, d: str) -> DataFrame:
+    """item, vec, label of all embeddings."""
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("long").alias("label"))
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
