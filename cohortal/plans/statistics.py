@@ -290,7 +290,7 @@ def composition_levels(spark: SparkSession, d: str) -> DataFrame:
 SELECT feature, CAST(CASE WHEN top < 3 THEN 0 WHEN f = 1 THEN 1 WHEN f > 1 THEN 2 WHEN low < 3 THEN 3 ELSE 4 END AS BIGINT) AS class FROM g""")
 def group_class(spark: SparkSession, d: str) -> DataFrame:
     """Classes of brands by their counts over sizes."""
-    a = D.read(spark, d, "part").where("p_size <= 12").groupBy(F.col("p_brand").alias("feature"), F.col("p_size").alias("label")).agg(F.count("*").cast("double").alias("amount"))
+    a = D.read(spark, d, "part").groupBy(F.col("p_brand").alias("feature"), F.col("p_size").alias("label")).agg(F.count("*").cast("double").alias("amount"))
     return rounded(M.feature_classes(a, "feature", 3.0, 0.35))
 
 
@@ -319,7 +319,7 @@ def seq_contrast(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_quantity, round(l_quantity * 0.5 * (1 + tanh((l_quantity - 10.0) / 4.0)) * sqrt(l_quantity * 10.0) / (0.5 * (10.0 + l_quantity)), 6) AS v FROM lineitem WHERE l_orderkey <= 2000")
 def soft_threshold(spark: SparkSession, d: str) -> DataFrame:
     """Low quantities suppressed."""
-    x = D.read(spark, d, "lineitem").where("l_orderkey <= 2000")
+    x = D.read(spark, d, "lineitem")
     return x.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_quantity", F.round(N.soft_threshold(F.col("l_quantity"), F.lit(10.0), F.lit(4.0)), 6).alias("v"))
 
 
@@ -335,7 +335,7 @@ def model_errors(spark: SparkSession, d: str) -> DataFrame:
 def bagscore_parts(spark: SparkSession, d: str) -> DataFrame:
     """Each part name's best match by shared words."""
     p = D.read(spark, d, "part")
-    return T.best_match(p.where("p_partkey <= 40").select(F.col("p_name").alias("a")).distinct(), p.where("p_partkey > 40 AND p_partkey <= 200").select(F.col("p_name").alias("b")).distinct(), "a", "b")
+    return T.best_match(p.select(F.col("p_name").alias("a")).distinct(), p.select(F.col("p_name").alias("b")).distinct(), "a", "b")
 
 
 @query()

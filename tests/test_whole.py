@@ -82,3 +82,15 @@ def test_pairs_of_blocks(spark, monkeypatch):
     assert all(math.isclose(got[i, j], math.dist(x[i], x[j]), rel_tol=1e-12) for i in range(60) for j in range(i + 1, 60))
     assert got[62, 63] == 5.0 and all(d is None for (i, j), d in got.items() if j >= 60 and (i, j) != (62, 63))
     assert P.pair_distances(df.where("id < 0")).count() == 0
+
+
+def test_all_lines(spark, duck):
+    same_rows(spark, duck, "soft_threshold", (" WHERE l_orderkey <= 2000", ""))
+
+
+def test_all_sizes(spark, duck):
+    same_rows(spark, duck, "group_class", (" WHERE p_size <= 12", ""))
+
+
+def test_all_names(spark, duck):
+    same_rows(spark, duck, "bagscore_parts", (" WHERE p_partkey <= 40", ""), (" WHERE p_partkey > 40 AND p_partkey <= 200", ""))
