@@ -123,7 +123,7 @@ def gmt_lines(spark: SparkSession, d: str) -> DataFrame:
 def synonym_groups(spark: SparkSession, d: str) -> DataFrame:
     """Segments of nations with names beside keys."""
     key = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
-    m = D.read(spark, d, "customer").where("c_custkey <= 60").select(F.col("c_mktsegment").alias("gid"), key("c_nationkey").alias("member"))
+    m = D.read(spark, d, "customer").select(F.col("c_mktsegment").alias("gid"), key("c_nationkey").alias("member"))
     return R.with_synonyms(m, D.read(spark, d, "nation").select(key("n_nationkey").alias("member"), F.col("n_name").alias("synonym")))
 
 
@@ -264,7 +264,7 @@ def confusion(spark: SparkSession, d: str) -> DataFrame:
 SELECT i, j, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM p JOIN s x ON x.g = i JOIN s y ON y.g = j""")
 def jaccard_groups(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of segments' members."""
-    m = D.read(spark, d, "customer").where("c_custkey <= 300").select("c_mktsegment", (F.col("c_nationkey") % 9 * 25 + F.col("c_custkey") % 11).alias("m"))
+    m = D.read(spark, d, "customer").select("c_mktsegment", (F.col("c_nationkey") % 9 * 25 + F.col("c_custkey") % 11).alias("m"))
     return rounded(P.jaccard(m, "c_mktsegment", "m"), "jaccard")
 
 

@@ -94,3 +94,8 @@ def test_all_sizes(spark, duck):
 
 def test_all_names(spark, duck):
     same_rows(spark, duck, "bagscore_parts", (" WHERE p_partkey <= 40", ""), (" WHERE p_partkey > 40 AND p_partkey <= 200", ""))
+
+
+@pytest.mark.parametrize("name,most", [("synonym_groups", 60), ("jaccard_groups", 300)])
+def test_all_customers(spark, duck, name, most):
+    same_rows(spark, duck, name, (f" WHERE c_custkey <= {most}", ""))
