@@ -127,3 +127,20 @@ def test_decoding_never_keeps_below_a_dropped_block():
         order = W.nodes_of(W.parse(W.training_page(rng)[0]))
         W.decode(order, model.log_odds(W.node_features(order)) * rng.choice([-1, 1, 0.1]))
         assert all(n.keep <= n.parent.keep for n in order if n.parent)
+
+
+def test_scores_do_not_depend_on_the_leaves_that_workers_hold(spark, docs, monkeypatch):
+    rows = docs.collect()
+    train = docs.where(~S.held_out(F.col("doc_id"))).select("text")
+    ppm = brute_ppm([r.text for r in train.collect()], S.ORDER)
+    new = [(100, "Ωmega 中文 zebra quartz"), (101, "The quick brown fish"), (102, "é" * 9)]
+    scored = docs.select("doc_id", "text").unionByName(spark.createDataFrame(new, "doc_id long, text string"))
+    trained = S.train(train)
+    whole = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in S.score(scored, trained).collect())
+    for most in (200, 0):
+        monkeypatch.setattr(S, "TRIE_NODES", most)
+        got = S.score(scored, trained).collect()
+        part = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in got)
+        assert [x[:2] for x in part] == [x[:2] for x in whole] and np.allclose([x[2] for x in part], [x[2] for x in whole], rtol=1e-9, atol=1e-9)
+        text = {r.doc_id: r.text for r in rows} | dict(new)
+        assert all(math.isclose(r.score, ppm(text[r.doc_id]), rel_tol=1e-9, abs_tol=1e-9) for r in got if len((text[r.doc_id] or "")) < 1000)
