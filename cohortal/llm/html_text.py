@@ -13,6 +13,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,16 +182,15 @@ def node_features(order: list[Node]) -> np.ndarray:
     above = in_tag + len(TAG_GROUPS)
     rows = np.zeros((len(order), above + _OWN + 3))
     place: dict[int, int] = {}
+    among: dict[int, tuple[int, int]] = {}  # of each node: place among its siblings, and how many have its tag
     for k, node in enumerate(order):
         place[id(node)] = k
         row, p = rows[k], node.parent
         n = max(1, node.n_words)
-        same = index = 0
+        tags = Counter(c.tag for c in node.children)
+        among.update((id(c), (i, tags[c.tag])) for i, c in enumerate(node.children))
+        index, same = among.get(id(node), (0, 0))
         if p:
-            for i, sibling in enumerate(p.children) if len(p.children) <= 64 else ():
-                same += sibling.tag == node.tag
-                if sibling is node:
-                    index = i
             up = rows[place[id(p)]]
             row[in_word:around] = np.maximum(up[in_word:around], up[own:in_word])
             row[around:in_tag] = up[own:in_word]

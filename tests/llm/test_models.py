@@ -144,3 +144,11 @@ def test_scores_do_not_depend_on_the_leaves_that_workers_hold(spark, docs, monke
         assert [x[:2] for x in part] == [x[:2] for x in whole] and np.allclose([x[2] for x in part], [x[2] for x in whole], rtol=1e-9, atol=1e-9)
         text = {r.doc_id: r.text for r in rows} | dict(new)
         assert all(math.isclose(r.score, ppm(text[r.doc_id]), rel_tol=1e-9, abs_tol=1e-9) for r in got if len((text[r.doc_id] or "")) < 1000)
+
+
+def test_sibling_features_of_many_children():
+    order = W.nodes_of(W.parse("<body><div>" + "<p>x</p><b>y</b>" * 100 + "</div></body>"))
+    rows = W.node_features(order)
+    siblings = [(n, r) for n, r in zip(order, rows) if n.parent and n.parent.tag == "div"]
+    assert len(siblings) == 200 and all(r[2] == 200 and r[3] == 100 for _, r in siblings)
+    assert [round(r[1] * 200) for _, r in siblings] == list(range(200))
