@@ -27,8 +27,11 @@ def erf(x: Column, terms: int = 120) -> Column:
 
 
 def normal_upper_tail(z: Column) -> Column:
-    """Probability that a standard normal variable is above z."""
-    return F.lit(0.5) - erf(z / math.sqrt(2)) * 0.5
+    """Probability that a standard normal variable is above z; from 2 on by a continued fraction, so that small values keep their digits."""
+    x = F.greatest(F.abs(z) / math.sqrt(2), F.lit(1.0))
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1)), x, lambda f, k: x + k / 2 / f)
+    beyond = F.exp(-x * x) / (2 * math.sqrt(math.pi)) / fraction
+    return F.when(z >= 2, beyond).when(z <= -2, 1 - beyond).otherwise(F.lit(0.5) - erf(z / math.sqrt(2)) * 0.5)
 
 
 def log_gamma(x: Column) -> Column:
@@ -40,15 +43,32 @@ def log_gamma(x: Column) -> Column:
     return (up - 0.5) * F.ln(up) - up + 0.5 * math.log(2 * math.pi) + series - back
 
 
-def incomplete_beta(x: Column, a: Column, b: Column, terms: int = 400) -> Column:
-    """Regularized incomplete beta function, by a series of positive terms on the side where it converges fast."""
+def incomplete_beta(x: Column, a: Column, b: Column) -> Column:
+    """Regularized incomplete beta function by its continued fraction, on the side of the mean where that converges.
+
+    Steps end when a step changes nothing; that takes about the square root of the
+    smaller parameter, and as many are allowed three times over. Null if it still moves then.
+    """
     swap = x > (a + 1) / (a + b + 2)
     xx, aa, bb = F.when(swap, 1 - x).otherwise(x), F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
     front = F.exp(log_gamma(aa + bb) - log_gamma(aa) - log_gamma(bb) + aa * F.ln(xx) + bb * F.ln(1 - xx)) / aa
+    state = lambda c, d, h, done: F.struct(c.alias("c"), d.alias("d"), h.alias("h"), done.alias("done"))
+    safe = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
     one = F.lit(1.0)
-    step = lambda s, n: F.struct((s["t"] * (aa + bb + n - 1) / (aa + n) * xx).alias("t"), (s["s"] + s["t"] * (aa + bb + n - 1) / (aa + n) * xx).alias("s"))
-    total = _fold(terms, F.struct(one.alias("t"), one.alias("s")), step, lambda s: s["s"])
-    value = F.when(xx <= 0, 0.0).otherwise(front * total)
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (bb - m) * xx / ((aa + 2 * m - 1) * (aa + 2 * m))
+        odd = -(aa + m) * (aa + bb + m) * xx / ((aa + 2 * m) * (aa + 2 * m + 1))
+        half = F.transform(F.array(s), lambda s: F.struct(safe(1 + even / s["c"]).alias("c"), (1 / safe(1 + even * s["d"])).alias("d"), s["h"].alias("h")))
+        half = F.transform(half, lambda s: F.struct(s["c"], s["d"], (s["h"] * s["c"] * s["d"]).alias("h")))
+        whole = F.transform(half, lambda s: F.struct(safe(1 + odd / s["c"]).alias("c"), (1 / safe(1 + odd * s["d"])).alias("d"), s["h"].alias("h")))
+        moved = F.transform(whole, lambda s: state(s["c"], s["d"], s["h"] * s["c"] * s["d"], F.abs(s["c"] * s["d"] - 1) < 1e-15))[0]
+        return F.when(s["done"], s).otherwise(moved)
+
+    first = 1 / safe(1 - (aa + bb) * xx / (aa + 1))
+    most = F.least(F.lit(1e6), 100 + 3 * F.sqrt(F.least(aa, bb))).cast("int")
+    fraction = F.aggregate(F.sequence(F.lit(1), most), state(one, first, first, F.lit(False)), step, lambda s: F.when(s["done"], s["h"]))
+    value = F.when(xx <= 0, 0.0).otherwise(front * fraction)
     return F.when(swap, 1 - value).otherwise(value)
 
 
@@ -66,21 +86,55 @@ def log_choose(n: Column, k: Column) -> Column:
     return log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
 
 
+def _hypergeometric(a: Column, b: Column, c: Column, d: Column):
+    """Of the table ((a, b), (c, d)): least and greatest possible first entry, its mode, the probability of an entry, and sums away from an entry.
+
+    ``beyond(k, p, n, up, least)``: the probabilities of the entries k, k + 1, ... (or k - 1, ... if not ``up``)
+    no larger than ``least``, starting from that of k, p, n of them at most, each from the one before. The sums go
+    over as many entries as matter, in proportion to the standard deviation whatever the size of the table.
+    """
+    row, col, n = ((x + y).cast("double") for x, y in ((a, b), (a, c), (a + b, c + d)))
+    low, high = F.greatest(F.lit(0.0), row + col - n), F.least(row, col)
+    mode = F.least(high, F.greatest(low, F.floor((row + 1) * (col + 1) / (n + 2))))
+    at = lambda k: F.exp(log_choose(col, k) + log_choose(n - col, row - k) - log_choose(n, row))
+    spread = F.sqrt(row / n * col * (1 - row / n) * (1 - col / n) * n / F.greatest(n - 1, F.lit(1.0)))
+    matter = F.ceil(12 * F.coalesce(spread, F.lit(0.0)) + 60)
+
+    def beyond(k: Column, p: Column, up: bool, least: Column | None = None) -> Column:
+        entries = F.least(matter, high - k if up else k - low).cast("int")
+        steps = F.when(entries > 0, F.sequence(F.lit(1), entries)).otherwise(F.array().cast("array<int>"))
+        state = lambda p, sum_, most: F.struct(p.alias("p"), sum_.alias("sum"), most.alias("most"))
+
+        def step(s: Column, j: Column) -> Column:
+            at_ = k + j - 1 if up else k - j + 1
+            ratio = (col - at_) * (row - at_) / ((at_ + 1) * (n - col - row + at_ + 1)) if up else at_ * (n - col - row + at_) / ((col - at_ + 1) * (row - at_ + 1))
+            p_ = s["p"] * ratio
+            return state(p_, s["sum"] + F.when(p_ <= s["most"], p_).otherwise(0.0), s["most"])
+
+        # What does not change from step to step is worked out once, before the first.
+        first = F.transform(F.array(F.struct(p.alias("p"), (F.lit(2.0) if least is None else least).alias("most"))), lambda f: state(f["p"], F.when(f["p"] <= f["most"], f["p"]).otherwise(0.0), f["most"]))[0]
+        return F.aggregate(steps, first, step, lambda s: s["sum"])
+
+    return low, high, mode, at, beyond
+
+
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Fisher's exact test of the table ((a, b), (c, d)): all tables no likelier than it. Tables with a zero margin give 1."""
-    row, col, n = a + b, a + c, a + b + c + d
-    low, high = F.greatest(F.lit(0), row + col - n), F.least(row, col)
-    log_p = lambda k: log_choose(col, k) + log_choose(n - col, row - k) - log_choose(n, row)
-    seen = log_p(a) + math.log1p(1e-7)
-    total = F.aggregate(F.sequence(low, high), F.lit(0.0), lambda s, k: s + F.when(log_p(k) <= seen, F.exp(log_p(k))).otherwise(0.0))
+    _, _, mode, at, beyond = _hypergeometric(a, b, c, d)
+    k = a.cast("double")
+    seen = at(k) * (1 + 1e-7)
+    # Away from the mode all tables are less likely; on its other side some are.
+    up = beyond(k, at(k), True) + beyond(mode, at(mode), False, seen)
+    down = beyond(k, at(k), False) + beyond(mode, at(mode), True, seen)
+    total = F.when(k > mode, up).when(k < mode, down).otherwise(1.0)
     return F.least(F.lit(1.0), total)
 
 
 def hypergeometric_tail(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Probability of ``a`` or more marked members, from the table ((a, b), (c, d))."""
-    row, col, n = a + b, a + c, a + b + c + d
-    log_p = lambda k: log_choose(col, k) + log_choose(n - col, row - k) - log_choose(n, row)
-    return F.least(F.lit(1.0), F.aggregate(F.sequence(a, F.least(row, col)), F.lit(0.0), lambda s, k: s + F.exp(log_p(k))))
+    low, _, mode, at, beyond = _hypergeometric(a, b, c, d)
+    k = a.cast("double")
+    return F.least(F.lit(1.0), F.when(k <= low, 1.0).when(k > mode, beyond(k, at(k), True)).otherwise(1 - beyond(k - 1, at(k - 1), False)))
 
 
 def over_all(*partition: str) -> WindowSpec:

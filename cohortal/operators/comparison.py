@@ -13,14 +13,22 @@ def _two(label: str, a: str, b: str, value: str) -> tuple[Column, Column]:
     return F.when(F.col(label) == a, F.col(value)), F.when(F.col(label) == b, F.col(value))
 
 
-def welch(df: DataFrame, feature: str, label: str, a: str, b: str, value: str = "value") -> DataFrame:
-    """feature, n_a, n_b, difference, t, df, p (two-sided) of Welch's test. Features with fewer than two values on a side, or none that vary, have null t and p."""
+def sided(p: Column, statistic: Column, alternative: str) -> Column:
+    """The p-value of an alternative (two-sided, greater, less) from the two-sided one and the sign of its statistic."""
+    if alternative == "two-sided":
+        return p
+    toward = statistic > 0 if alternative == "greater" else statistic < 0
+    return F.when(toward, p / 2).otherwise(1 - p / 2)
+
+
+def welch(df: DataFrame, feature: str, label: str, a: str, b: str, value: str = "value", alternative: str = "two-sided") -> DataFrame:
+    """feature, n_a, n_b, difference, t, df, p (of ``alternative``, about ``a``) of Welch's test. Features with fewer than two values on a side, or none that vary, have null t and p."""
     x, y = _two(label, a, b, value)
     g = df.groupBy(feature).agg(F.count(x).alias("n_a"), F.count(y).alias("n_b"), F.avg(x).alias("m_a"), F.avg(y).alias("m_b"), F.var_samp(x).alias("v_a"), F.var_samp(y).alias("v_b"))
     ea, eb = F.col("v_a") / F.col("n_a"), F.col("v_b") / F.col("n_b")
     g = g.withColumn("difference", F.col("m_a") - F.col("m_b")).withColumn("_e", F.nullif(ea + eb, F.lit(0.0)))
     g = g.withColumn("t", F.col("difference") / F.sqrt("_e")).withColumn("df", F.col("_e") * F.col("_e") / (ea * ea / (F.col("n_a") - 1) + eb * eb / (F.col("n_b") - 1)))
-    return g.withColumn("p", t_two_sided(F.col("t"), F.col("df"))).select(feature, "n_a", "n_b", "difference", "t", "df", "p")
+    return g.withColumn("p", sided(t_two_sided(F.col("t"), F.col("df")), F.col("t"), alternative)).select(feature, "n_a", "n_b", "difference", "t", "df", "p")
 
 
 def paired_t(df: DataFrame, feature: str, pair: str, label: str, a: str, b: str, value: str = "value") -> DataFrame:
@@ -31,8 +39,8 @@ def paired_t(df: DataFrame, feature: str, pair: str, label: str, a: str, b: str,
     return g.withColumn("p", t_two_sided(F.col("t"), F.col("n") - 1.0))
 
 
-def mann_whitney(df: DataFrame, feature: str, label: str, a: str, b: str, value: str = "value") -> DataFrame:
-    """feature, n_a, n_b, u (of a), p: normal approximation with tie correction and continuity, two-sided."""
+def mann_whitney(df: DataFrame, feature: str, label: str, a: str, b: str, value: str = "value", alternative: str = "two-sided") -> DataFrame:
+    """feature, n_a, n_b, u (of a), p: normal approximation with tie correction and continuity, of ``alternative`` about ``a``."""
     both = df.where(F.col(label).isin(a, b) & F.col(value).isNotNull())
     ties = F.count("*").over(Window.partitionBy(feature, value))
     ranked = both.withColumn("_rank", average_rank(value, feature)).withColumn("_tie", ties * ties - 1.0)
@@ -43,8 +51,10 @@ def mann_whitney(df: DataFrame, feature: str, label: str, a: str, b: str, value:
     n = F.col("n_a") + F.col("n_b")
     g = g.withColumn("u", F.col("_r") - F.col("n_a") * (F.col("n_a") + 1) / 2)
     mean, sd = F.col("n_a") * F.col("n_b") / 2, F.sqrt(F.col("n_a") * F.col("n_b") / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
-    z = F.greatest(F.lit(0.0), F.abs(F.col("u") - mean) - 0.5) / F.nullif(sd, F.lit(0.0))
-    return g.withColumn("p", F.least(F.lit(1.0), 2 * normal_upper_tail(z))).select(feature, "n_a", "n_b", "u", "p")
+    away = F.col("u") - mean if alternative == "greater" else mean - F.col("u") if alternative == "less" else F.abs(F.col("u") - mean)
+    two = alternative == "two-sided"
+    z = (F.greatest(F.lit(0.0), away - 0.5) if two else away - 0.5) / F.nullif(sd, F.lit(0.0))
+    return g.withColumn("p", F.least(F.lit(1.0), (2 if two else 1) * normal_upper_tail(z))).select(feature, "n_a", "n_b", "u", "p")
 
 
 def fold_change(df: DataFrame, feature: str, label: str, a: str, b: str, value: str = "value") -> DataFrame:

@@ -108,6 +108,19 @@ for _m in _ADJUST:
     _adjust(_m)
 
 
+def _two_stage(method: str, factor: float) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return rounded(G.adjusted(part_p(spark, d), method).drop("p"), "adjusted")
+
+    run.__name__ = "adjust_" + method
+    query(f"""{_P}, r AS (SELECT pos, p, {_R} AS r, count(*) OVER () AS m FROM part_p), b AS (SELECT pos, m, least(1.0, {_ADJUST['fdr_bh']}) AS b FROM r), f AS (SELECT count(*) AS found FROM b WHERE b <= 0.05 / {factor})
+SELECT pos, round(least(1.0, b * {factor} * CASE WHEN found = m THEN 1.0 ELSE 1 - found / m END), 6) AS adjusted FROM b, f""")(run)
+
+
+_two_stage("fdr_tsbh", 1.0)
+_two_stage("fdr_tsbky", 1.05)
+
+
 @query(f"""WITH {ANALYTE}, z AS (SELECT feature, sample, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS z, {average_rank('value')} / count(*) OVER () AS r FROM analyte)
 SELECT feature, sample, round({upper_tail('z')}, 6) AS p, round(r, 6) AS r FROM z""")
 def normal_p_revenue(spark: SparkSession, d: str) -> DataFrame:
@@ -125,6 +138,19 @@ def welch_by_brand(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(C.welch(x, "feature", "region", "ASIA", "EUROPE"), "p"), "difference", "t", "df", places=4)
 
 
+@query(f"""WITH g AS (SELECT l_linestatus, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS n_a, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS n_b, avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END) - avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS difference,
+ var_samp(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS va, var_samp(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS vb FROM lineitem GROUP BY 1),
+ t AS (SELECT *, difference / sqrt(va / n_a + vb / n_b) AS t, pow(va / n_a + vb / n_b, 2) / (pow(va / n_a, 2) / (n_a - 1) + pow(vb / n_b, 2) / (n_b - 1)) AS df FROM g),
+ h AS (SELECT *, {beta('(df / (df + t * t))', 'df / 2', '0.5')} AS p FROM t) SELECT l_linestatus, round(t, 4) AS t, round(df, 2) AS df, round(p, 6) AS p, round(CASE WHEN t > 0 THEN p / 2 ELSE 1 - p / 2 END, 6) AS p_greater FROM h""")
+def welch_of_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Welch's test of quantity between two return flags, with the degrees of freedom of all lines, and its one-sided form."""
+    line = D.read(spark, d, "lineitem")
+    both = C.welch(line, "l_linestatus", "l_returnflag", "A", "R", "l_quantity")
+    greater = C.welch(line, "l_linestatus", "l_returnflag", "A", "R", "l_quantity", alternative="greater").select("l_linestatus", F.col("p").alias("p_greater"))
+    x = rounded(both.join(greater, "l_linestatus"), "p", "p_greater")
+    return rounded(rounded(x, "t", places=4), "df", places=2).select("l_linestatus", "t", "df", "p", "p_greater")
+
+
 @query(f"""WITH {LABELLED}, b AS (SELECT * FROM labelled WHERE region IN ('ASIA', 'EUROPE')), r AS (SELECT *, {average_rank('value', 'feature')} AS r, count(*) OVER (PARTITION BY feature, value) AS c FROM b),
  g AS (SELECT feature, count(CASE WHEN region = 'ASIA' THEN 1 END) AS n_a, count(CASE WHEN region = 'EUROPE' THEN 1 END) AS n_b, sum(CASE WHEN region = 'ASIA' THEN r END) AS s, sum(c * c - 1.0) AS ties FROM r GROUP BY 1),
  u AS (SELECT *, s - n_a * (n_a + 1) / 2.0 AS u, n_a + n_b AS n FROM g), z AS (SELECT *, greatest(0.0, abs(u - n_a * n_b / 2.0) - 0.5) / sqrt(n_a * n_b / 12.0 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u)
@@ -151,12 +177,13 @@ def anova_by_brand(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.one_way_anova(D.labelled(spark, d), "feature", "region"), "f", "p")
 
 
-@query(f"""WITH g AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_syy(l_extendedprice, l_quantity) AS tss, regr_r2(l_extendedprice, l_quantity) AS r2, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT l_returnflag, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2, round(r2 / ((1 - r2) / (n - 2)), 2) AS f FROM g""")
+@query(f"""WITH g AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_syy(l_extendedprice, l_quantity) AS tss, regr_r2(l_extendedprice, l_quantity) AS r2, count(*) AS n FROM lineitem GROUP BY 1),
+f AS (SELECT *, r2 / ((1 - r2) / (n - 2)) AS f, (n - 2)::DOUBLE AS d2 FROM g)
+SELECT l_returnflag, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2, round(f, 2) AS f, round({beta('(d2 / (d2 + f))', 'd2 / 2', '0.5')}, 6) AS p FROM f""")
 def regression_assess(spark: SparkSession, d: str) -> DataFrame:
     """Price on quantity for each return flag."""
     x = C.regression_assessment(D.read(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag").withColumn("r2", F.col("ess") / F.col("tss"))
-    return rounded(rounded(rounded(x.select("l_returnflag", "slope", "intercept", "r2", "f"), "r2"), "slope", "intercept", places=4), "f", places=2)
+    return rounded(rounded(rounded(x.select("l_returnflag", "slope", "intercept", "r2", "f", "p"), "r2", "p"), "slope", "intercept", places=4), "f", places=2)
 
 
 @query(f"WITH {LABELLED} SELECT region, feature, round(avg(value), 2) AS mean FROM labelled GROUP BY 1, 2")
@@ -285,7 +312,7 @@ def composition_levels(spark: SparkSession, d: str) -> DataFrame:
     return M.level_sets(M.cumulative_sets(a, "feature", "region"), "feature", [0.25, 0.5, 0.75])
 
 
-@query("""WITH a AS (SELECT p_brand AS feature, p_size AS label, count(*)::DOUBLE AS amount FROM part WHERE p_size <= 12 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER w AS k, lead(amount) OVER w AS nx FROM a WINDOW w AS (PARTITION BY feature ORDER BY amount DESC)),
+@query("""WITH a AS (SELECT p_brand AS feature, p_size AS label, count(*)::DOUBLE AS amount FROM part GROUP BY 1, 2), k AS (SELECT *, row_number() OVER w AS k, lead(amount) OVER w AS nx FROM a WINDOW w AS (PARTITION BY feature ORDER BY amount DESC)),
  g AS (SELECT feature, max(amount) AS top, min(amount) AS low, min(CASE WHEN nx IS NOT NULL AND log2((amount + 1) / (nx + 1)) >= 0.35 THEN k END) AS f FROM k GROUP BY 1)
 SELECT feature, CAST(CASE WHEN top < 3 THEN 0 WHEN f = 1 THEN 1 WHEN f > 1 THEN 2 WHEN low < 3 THEN 3 ELSE 4 END AS BIGINT) AS class FROM g""")
 def group_class(spark: SparkSession, d: str) -> DataFrame:
@@ -316,7 +343,7 @@ def seq_contrast(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.lagged(D.daily(spark, d)).drop("value"), "total", "change", "contrast")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, round(l_quantity * 0.5 * (1 + tanh((l_quantity - 10.0) / 4.0)) * sqrt(l_quantity * 10.0) / (0.5 * (10.0 + l_quantity)), 6) AS v FROM lineitem WHERE l_orderkey <= 2000")
+@query("SELECT l_orderkey, l_linenumber, l_quantity, round(l_quantity * 0.5 * (1 + tanh((l_quantity - 10.0) / 4.0)) * sqrt(l_quantity * 10.0) / (0.5 * (10.0 + l_quantity)), 6) AS v FROM lineitem")
 def soft_threshold(spark: SparkSession, d: str) -> DataFrame:
     """Low quantities suppressed."""
     x = D.read(spark, d, "lineitem")
@@ -330,7 +357,7 @@ def model_errors(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(S.errors(x, "m", "l_quantity").select("mse", "cosine"), "cosine"), "mse", places=4)
 
 
-@query("""WITH w AS (SELECT DISTINCT p_name AS a, unnest(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey <= 40), v AS (SELECT DISTINCT p_name AS b, unnest(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey > 40 AND p_partkey <= 200),
+@query("""WITH w AS (SELECT DISTINCT p_name AS a, unnest(string_split(lower(p_name), ' ')) AS w FROM part), v AS (SELECT DISTINCT p_name AS b, unnest(string_split(lower(p_name), ' ')) AS w FROM part),
  s AS (SELECT a, b, count(*) AS score FROM w JOIN v USING (w) GROUP BY 1, 2) SELECT a, first(b ORDER BY score DESC, b) AS b, max(score) AS score FROM s GROUP BY 1""")
 def bagscore_parts(spark: SparkSession, d: str) -> DataFrame:
     """Each part name's best match by shared words."""
@@ -362,21 +389,31 @@ def primes(spark: SparkSession, d: str) -> DataFrame:
     return D.read(spark, d, "nation").select(F.col("n_nationkey").alias("n"), N.is_prime(F.col("n_nationkey").cast("long")).alias("prime"))
 
 
-@query("""WITH s AS (SELECT p_partkey AS pos, p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS r, count(*) OVER () AS n FROM part),
+_SLOPES = """WITH s AS (SELECT p_partkey AS pos, p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS r, count(*) OVER () AS n FROM part),
  k AS (SELECT pos, r, n, unnest(CASE WHEN r = 0 THEN [0, 2] WHEN r = n - 1 THEN [n - 2, n - 1] ELSE [r - 1, r, r + 1] END) AS o FROM s),
- d AS (SELECT k.pos, abs(arg_max(s.v, s.pos) - arg_min(s.v, s.pos)) / (count(*) - 1) AS slope FROM k JOIN s ON s.r = k.o GROUP BY 1)
-SELECT pos, round(slope, 4) AS slope, round(exp(-slope / avg(slope) OVER ()), 6) AS p FROM d""")
+ d AS (SELECT k.pos, abs(arg_max(s.v, s.pos) - arg_min(s.v, s.pos)) / (count(*) - 1) AS slope FROM k JOIN s ON s.r = k.o GROUP BY 1)"""
+
+
+@query(f"{_SLOPES}, z AS (SELECT pos, slope, (slope - avg(slope) OVER ()) / stddev_pop(slope) OVER () AS z FROM d) SELECT pos, round(slope, 4) AS slope, round({upper_tail('z')}, 6) AS p FROM z")
+def rank_deriv_normal(spark: SparkSession, d: str) -> DataFrame:
+    """p-values of rank derivatives of prices, by a normal distribution."""
+    x = D.read(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("v"))
+    return rounded(rounded(G.rank_derivative_p(x, "v", "pos", normal=True).drop("v"), "p"), "slope", places=4)
+
+
+@query(f"{_SLOPES} SELECT pos, round(slope, 4) AS slope, round(exp(-slope / avg(slope) OVER ()), 6) AS p FROM d")
 def rank_deriv_p(spark: SparkSession, d: str) -> DataFrame:
     """p-values of rank derivatives of prices."""
     x = D.read(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("v"))
     return rounded(rounded(G.rank_derivative_p(x, "v", "pos").drop("v"), "p"), "slope", places=4)
 
 
-@query("""WITH a AS (SELECT p_brand AS feature, sum(p_retailprice) AS lev FROM part GROUP BY 1) SELECT feature, round(sum(lev) OVER (ORDER BY lev DESC, feature) / sum(lev) OVER (), 6) AS rank_p FROM a""")
+@query(f"""WITH a AS (SELECT p_brand AS feature, sum(p_retailprice) AS lev FROM part GROUP BY 1), z AS (SELECT *, (ln(lev) - avg(ln(lev)) OVER ()) / stddev_pop(ln(lev)) OVER () AS z FROM a)
+SELECT feature, round({upper_tail('z')}, 6) AS p, round(sum(lev) OVER (ORDER BY lev DESC, feature) / sum(lev) OVER (), 6) AS rank_p FROM z""")
 def leverage_p(spark: SparkSession, d: str) -> DataFrame:
     """Cumulative leverage of brands."""
     x = D.read(spark, d, "part").groupBy(F.col("p_brand").alias("feature")).agg(F.sum("p_retailprice").alias("lev"))
-    return rounded(G.leverage_p(x, "feature", "lev").select("feature", "rank_p"), "rank_p")
+    return rounded(G.leverage_p(x, "feature", "lev").select("feature", "p", "rank_p"), "p", "rank_p")
 
 
 @query()

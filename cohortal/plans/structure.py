@@ -119,7 +119,7 @@ def gmt_lines(spark: SparkSession, d: str) -> DataFrame:
     return files.gmt_lines(g.withColumn("description", F.lit("")))
 
 
-@query("""WITH m AS (SELECT c_mktsegment AS gid, 'n' || c_nationkey AS member FROM customer WHERE c_custkey <= 60), y AS (SELECT 'n' || n_nationkey AS member, n_name AS synonym FROM nation) SELECT gid, member FROM m UNION SELECT gid, synonym FROM m JOIN y USING (member)""")
+@query("""WITH m AS (SELECT c_mktsegment AS gid, 'n' || c_nationkey AS member FROM customer), y AS (SELECT 'n' || n_nationkey AS member, n_name AS synonym FROM nation) SELECT gid, member FROM m UNION SELECT gid, synonym FROM m JOIN y USING (member)""")
 def synonym_groups(spark: SparkSession, d: str) -> DataFrame:
     """Segments of nations with names beside keys."""
     key = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
@@ -260,7 +260,7 @@ def confusion(spark: SparkSession, d: str) -> DataFrame:
     return Q.confusion(D.read(spark, d, "documents"), "lang", "source")
 
 
-@query("""WITH m AS (SELECT DISTINCT c_mktsegment AS g, c_nationkey % 9 * 25 + c_custkey % 11 AS m FROM customer WHERE c_custkey <= 300), s AS (SELECT g, count(*) AS n FROM m GROUP BY 1), p AS (SELECT a.g AS i, b.g AS j, count(*) AS shared FROM m a JOIN m b ON a.m = b.m AND a.g < b.g GROUP BY 1, 2)
+@query("""WITH m AS (SELECT DISTINCT c_mktsegment AS g, c_nationkey % 9 * 25 + c_custkey % 11 AS m FROM customer), s AS (SELECT g, count(*) AS n FROM m GROUP BY 1), p AS (SELECT a.g AS i, b.g AS j, count(*) AS shared FROM m a JOIN m b ON a.m = b.m AND a.g < b.g GROUP BY 1, 2)
 SELECT i, j, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM p JOIN s x ON x.g = i JOIN s y ON y.g = j""")
 def jaccard_groups(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of segments' members."""

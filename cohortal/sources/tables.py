@@ -50,7 +50,7 @@ def membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def marked_parts(spark: SparkSession, d: str) -> DataFrame:
-    """member, hit: parts returned more often than one line in four."""
+    """member, hit: parts of which more than 40 % of the lines were returned."""
     line = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("member")).agg(F.avg((F.col("l_returnflag") == "R").cast("double")).alias("r"))
     return line.select("member", (F.col("r") > 0.4).alias("hit"))
 

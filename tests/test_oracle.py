@@ -6,7 +6,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import DATA
+from common import DATA
 
 from cohortal import catalog
 

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import DATA
+from common import DATA
 from pyspark.sql import functions as F
 
 from cohortal.functions import numeric as N
@@ -40,6 +40,19 @@ def test_tails(spark):
     assert abs(value(spark, N.t_two_sided(F.lit(2.2281388519649385), F.lit(10.0))) - 0.05) < 1e-9
     assert abs(value(spark, N.f_upper_tail(F.lit(4.102821015), F.lit(2.0), F.lit(10.0))) - 0.05) < 1e-8
     assert abs(value(spark, N.normal_upper_tail(F.lit(1.959963984540054))) - 0.025) < 1e-12
+    for z in (-30.0, -7.5, -2.0, 1.9, 2.0, 7.5, 30.0):
+        assert math.isclose(value(spark, N.normal_upper_tail(F.lit(z))), 0.5 * math.erfc(z / math.sqrt(2)), rel_tol=1e-11)
+
+
+@pytest.mark.parametrize("df", [1.0, 5.0, 1e3, 1e4, 1e5, 1e6, 1e7])
+@pytest.mark.parametrize("t", [0.001, 0.7, 2.0, 3.0, 9.0])
+def test_t_tails_at_any_size(spark, df, t):
+    # The density in the angle whose tangent is t over the root of df, by the trapezoid rule where it is not negligible.
+    begin = math.atan(t / math.sqrt(df))
+    ends = np.linspace(begin, min(math.pi / 2, begin + 40 / math.sqrt(df)) if df > 1000 else math.pi / 2, 2_000_001)
+    area = np.trapezoid(np.exp((df - 1) * np.log(np.maximum(np.cos(ends), 1e-300))) if df > 1 else np.ones_like(ends), ends)
+    want = 2 * area * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    assert math.isclose(value(spark, N.t_two_sided(F.lit(t), F.lit(df))), want, rel_tol=1e-6)
 
 
 def test_fisher(spark):
@@ -48,8 +61,13 @@ def test_fisher(spark):
         p = lambda x: math.comb(k, x) * math.comb(n - k, r - x) / math.comb(n, r)
         return sum(p(x) for x in range(max(0, r + k - n), min(r, k) + 1) if p(x) <= p(a) * (1 + 1e-7))
 
-    for t in ((8, 2, 1, 5), (0, 5, 3, 2), (10, 10, 10, 10), (0, 0, 3, 4)):
-        assert abs(value(spark, N.fisher_two_sided(*map(F.lit, t))) - brute(*t)) < 1e-9
+    def upper(a, b, c, d):
+        n, r, k = a + b + c + d, a + b, a + c
+        return sum(math.comb(k, x) * math.comb(n - k, r - x) for x in range(a, min(r, k) + 1)) / math.comb(n, r)
+
+    for t in ((8, 2, 1, 5), (0, 5, 3, 2), (10, 10, 10, 10), (0, 0, 3, 4), (50, 50, 10, 200), (3, 97, 30, 70), (40, 0, 0, 60), (7, 0, 0, 0), (5, 95, 10, 890), (900, 100, 100, 900)):
+        assert math.isclose(value(spark, N.fisher_two_sided(*map(F.lit, t))), brute(*t), rel_tol=1e-8, abs_tol=1e-60)
+        assert math.isclose(value(spark, N.hypergeometric_tail(*map(F.lit, t))), upper(*t), rel_tol=1e-8, abs_tol=1e-12)
 
 
 def distances(spark):

@@ -7,7 +7,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
-from conftest import DATA
+from common import DATA
 
 from cohortal import catalog
 from cohortal.operators import pairs as P
