@@ -1,17 +1,7 @@
 """Small tables with every awkward case."""
 
-import os
-import sys
-
 import pytest
-
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
-BASE = [
-    "The quick brown fox jumps over the lazy dog and runs away from it all again today.",
-    "Rain fell on the harbour while boats came home with silver fish for the early market.",
-    "Ein Haus am See ist für viele Leute ein Traum, der nie ganz zu Ende geht, wie man sagt.",
-]
+from samples import BASE
 
 
 @pytest.fixture(scope="session")

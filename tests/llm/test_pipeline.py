@@ -1,6 +1,6 @@
 import corpus_pipeline as P
 import pytest
-from conftest import BASE
+from samples import BASE
 
 from cohortal.llm import registry
 
