@@ -98,11 +98,33 @@ def test_neighbours(spark):
 
 def test_footrule():
     rng = np.random.default_rng(7)
-    orders = np.array([rng.permutation(20)[:6] for _ in range(30)])
+    orders = np.array([rng.permutation(20)[:6] for _ in range(30)], np.int16)
     places = [{int(p): k for k, p in enumerate(o)} for o in orders]
-    want = [sum(abs(places[0].get(p, 6) - q.get(p, 6)) for p in range(20)) for q in places]
     files = V.inverted_files(orders, 20)
-    assert V.footrule(files, V.inverted_files(orders[:1], 20)[:, 0]).tolist() == want
+    assert all(places[r][p] == k for p, (rows, at) in enumerate(files) for r, k in zip(rows.tolist(), at.tolist()))
+    for read in (2, 6):
+        want = [sum(abs(places[0][p] - q.get(p, 6)) for p in orders[0][:read].tolist()) for q in places]
+        assert V.footrule(files, orders[0][:read], 30, 6).tolist() == want
+
+
+def test_neighbours_among_copies_and_other_spaces(spark, monkeypatch):
+    """A vector that makes up most rows crowds nobody out; layouts and segments change nothing but the sample they measure."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 8))
+    x[200:500] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, [float(i + 1), 1.0]) for i in range(30)] + [(3, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(V, "SEGMENT", 50)
+    seen = set()
+    for parts in (1, 7):
+        got = V.search(df.repartition(parts), F.col("vec_id") % 100 == 0, measured=1.0).collect()
+        seen.add(tuple(sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got)))
+    assert len(seen) == 1
+    for q in (0, 100, 200, 300, 1000):
+        ids, space = (list(range(600)), x) if q < 1000 else (list(range(1000, 1030)), np.array([[i + 1.0, 1.0] for i in range(30)]))
+        d = np.sqrt(((space - space[ids.index(q)]) ** 2).sum(1))
+        want = sorted((round(float(e), 9), i) for e, i in zip(d, ids) if i != q)[:10]
+        assert [(e, i) for k, _, i, e in sorted(next(iter(seen))) if k == q] == want
 
 
 def test_held_out_pages_are_extracted_whole():
