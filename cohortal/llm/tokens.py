@@ -4,14 +4,15 @@ No token of the vocabularies used here reaches across white space, but for one
 space in front of a word that the byte-level vocabulary keeps. So texts are cut
 there with Arrow, a batch's distinct pieces are encoded by the library once, and
 a document's ids are those of its pieces, joined. Texts in which white space is
-unusual are encoded whole. Either way the ids equal
-``Tokenizer.encode(text, add_special_tokens=False)``; tests compare both.
+unusual, or that hold the content of an added token, are encoded whole. Either way
+the ids equal ``Tokenizer.encode(text, add_special_tokens=False)``; tests compare both.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -53,7 +54,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
+        #: Where a text holds an added token in letters of either case, or nothing that any text holds.
+        self._added = "|".join(re.escape(t.content) for t in self._tok.get_added_tokens_decoder().values()) or r"[^\s\S]"
         self._keeps_space = keeps_space
         self._model = self._tok.model
         self._suffix = functools.cache(lambda marks: self._tok.encode(marks, add_special_tokens=False).ids)
@@ -110,12 +112,14 @@ class Encoder:
 
     def _block(self, texts: pa.Array) -> Iterator[np.ndarray]:
         whole = {}
+        odd = pc.match_substring_regex(texts, self._added, ignore_case=True)
+        if self._keeps_space:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, _UNUSUAL))
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            whole[i] = np.array(self._tok.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        if whole:
+            texts = pc.if_else(odd, "", texts)
         if self._keeps_space:
-            odd = pc.match_substring_regex(texts, _UNUSUAL)
-            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
-                whole[i] = np.array(self._tok.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
-            if whole:
-                texts = pc.if_else(odd, "", texts)
             texts = pc.replace_substring(pc.replace_substring(texts, " ", _CUT + " "), "\n", _CUT + "\n" + _CUT)
             lists = pc.split_pattern(texts, _CUT)
         else:
