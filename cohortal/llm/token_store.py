@@ -101,6 +101,8 @@ def encode(docs: DataFrame, vocabulary: str, keeps_space: bool, end_id: int | No
             rows: list[list] = [[], [], [], []]
             for ids in enc.encode(batch.column(1)):
                 ids = np.concatenate([ids, end])
+                if len(ids) and int(ids.max()) >> 8 * width:
+                    raise ValueError(f"id {ids.max()} is wider than the {width} bytes that the store keeps")
                 data, lens = ids.astype(f"<u{width}").tobytes(), chunk_lengths(ids)
                 ends = np.cumsum([0, *lens]) * width
                 for out, x in zip(rows, (len(ids), lens, b"".join(digest(data[a:b]) for a, b in zip(ends, ends[1:])), squeeze.compress(data))):
@@ -143,6 +145,18 @@ def _owned_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(columns[0]), pa.int32())], [*out, "part"])
 
 
+def _part_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        roots = [merkle_root(x) for x in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(roots, pa.binary())], ["part", "n_tokens", "n_documents", "root"])
+
+
+def part_roots(stored: DataFrame) -> DataFrame:
+    """part, n_tokens, n_documents and the Merkle root of the documents' roots, in order. A part holds the documents of one task; of each only the root is gathered."""
+    parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_documents"), F.sort_array(F.collect_list(F.struct("local_start", "row", "root"))).alias("r"))
+    return parts.select("part", "n_tokens", "n_documents", F.col("r.root").alias("roots")).mapInArrow(_part_root, "part int, n_tokens bigint, n_documents bigint, root binary")
+
+
 def write_store(docs: DataFrame, path: str, vocabulary: str, keeps_space: bool = False, end_id: int | None = 2, width: int = 2) -> None:
     """Encode whole texts and write the store.
 
@@ -168,14 +182,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, keeps_space: bool =
     final.write.option("compression", "none").parquet(f"{path}/documents")
     stored = spark.read.parquet(f"{path}/documents")
 
-    def part_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            roots = [digest(b"".join(x)) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(roots, pa.binary())], ["part", "n_tokens", "n_documents", "root"])
-
-    # A part holds the documents of one task, and of each only the root is gathered here.
-    parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_documents"), F.sort_array(F.collect_list(F.struct("local_start", "row", "root"))).alias("r"))
-    parts = parts.select("part", "n_tokens", "n_documents", F.col("r.root").alias("roots")).mapInArrow(part_root, "part int, n_tokens bigint, n_documents bigint, root binary")
+    parts = part_roots(stored)
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
     parts.withColumns({"start": before, "width": F.lit(width)}).coalesce(1).write.parquet(f"{path}/manifest")
 
@@ -227,9 +234,19 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Each document of a store, verified: doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit)."""
-    manifest = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("part_start"), "width")
-    stored = spark.read.parquet(f"{path}/documents").join(manifest, "part").withColumn("start", F.col("part_start") + F.col("local_start"))
+    """Each document of a store, verified: doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit).
+
+    The manifest's counts and roots are held against the documents first; a part or
+    document that is missing, added or moved raises, as does a chunk or recipe
+    that does not match its digest.
+    """
+    manifest, documents = spark.read.parquet(f"{path}/manifest"), spark.read.parquet(f"{path}/documents")
+    whole = manifest.select("part", F.struct("n_tokens", "n_documents", "root").alias("m")).join(part_roots(documents).select("part", F.struct("n_tokens", "n_documents", "root").alias("d")), "part", "full")
+    off = whole.where(~F.col("m").eqNullSafe(F.col("d"))).select("part").limit(1).collect()
+    if off:
+        raise ValueError(f"part {off[0]['part']} of the store does not match its manifest")
+    manifest = manifest.select("part", F.col("start").alias("part_start"), "width")
+    stored = documents.join(manifest, "part").withColumn("start", F.col("part_start") + F.col("local_start"))
     stored = stored.drop("part", "part_start", "local_start")
     foreign, lent = F.instr(F.hex("flags"), "02") > 0, F.instr(F.hex("flags"), "01") > 0
     chunks = stored.where(lent).select("flags", "lens", "digests", "body", "width").mapInArrow(_lent_chunks, "digest binary, chunk binary")
