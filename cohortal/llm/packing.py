@@ -98,7 +98,12 @@ def mutated(sizes: list[int], groups: list[list[int]], capacity: int, rng: rando
 
 
 def evolve(sizes: list[int], seeds: list[list[list[int]]], capacity: int, rng: random.Random, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The best individual found; it is never worse than a seed. Stops where no smaller number of groups can exist."""
+    """The best individual found; it is never worse than a seed.
+
+    The population is filled with individuals built by best fit in jittered order
+    of size. At least one generation is bred; breeding ends early where no smaller
+    number of groups can exist.
+    """
     least = -(-sum(sizes) // capacity)
     rank = lambda groups: fitness(sizes, groups, capacity)
     pool = list(seeds)
@@ -106,16 +111,14 @@ def evolve(sizes: list[int], seeds: list[list[list[int]]], capacity: int, rng: r
         jitter = 0.15 * rng.random() if pool else 0.0
         order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + jitter * rng.random()))
         pool.append(best_fit(sizes, order, [], capacity))
-        if len(pool[-1]) <= least:
-            return pool[-1]
     pool.sort(key=rank, reverse=True)
     for _ in range(generations):
-        if len(pool[0]) <= least:
-            break
         parents = rng.sample(pool, min(len(pool), 3))
         children = [crossover(sizes, a, b, capacity, rng) for a, b in zip(parents, parents[1:])]
         children.append(mutated(sizes, pool[0], capacity, rng))
         pool = sorted(pool + children, key=rank, reverse=True)[:population]
+        if len(pool[0]) <= least:
+            break
     return pool[0]
 
 

@@ -1,26 +1,34 @@
+import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from cohortal.llm import packing
 from cohortal.llm import token_store as S
 from cohortal.llm import tokens as T
-from cohortal.llm.packing import crossover, evolve, fitness, pack
+from cohortal.llm.packing import best_fit, crossover, evolve, fitness, pack
+
+
+_TOKENIZERS = {}
 
 
 def reference(name, text):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(T.vocabulary_path(name))
-    tok.encode_special_tokens = True
-    return tok.encode(text or "", add_special_tokens=False).ids
+    if name not in _TOKENIZERS:
+        _TOKENIZERS[name] = Tokenizer.from_file(T.vocabulary_path(name))
+    return _TOKENIZERS[name].encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name,space", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_encoder_equals_library(texts, name, space, monkeypatch):
     monkeypatch.setattr(T, "BLOCK_BYTES", 200)
     more = [*texts, "a ,b.,c. d'x,", "Σας ΣΑΣ İx K", "é ́x", "tab\t\n c", "x \n y\n", "word.Word,word", "1,2 a1,b"]
+    rng = random.Random(11)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", " ", "\n", "a", "Word", ".", ",", "  ", "é", "<|endoftext|>x"]
+    more += ["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(300)]
     got = [x.tolist() for x in T.Encoder(T.vocabulary_path(name), space).encode(pa.array(more))]
     assert got == [reference(name, t) for t in more]
 
@@ -52,6 +60,24 @@ def test_store_damage_is_seen(spark, docs, tmp_path):
         S.read_store(spark, bad).collect()
 
 
+def test_store_knows_what_it_lost(spark, docs, tmp_path):
+    good = str(tmp_path / "good")
+    S.write_store(docs, good, T.vocabulary_path("word_bpe_49k.json"))
+    rows, parts = spark.read.parquet(good + "/documents"), spark.read.parquet(good + "/manifest")
+    part = rows.first()["part"]
+    for k, (some, manifest) in enumerate(((rows.where("doc_id <> 8 OR doc_id IS NULL"), parts), (rows.where(f"part <> {part}"), parts), (rows, parts.where(f"part <> {part}")))):
+        bad = str(tmp_path / f"bad{k}")
+        some.write.parquet(bad + "/documents")
+        manifest.write.parquet(bad + "/manifest")
+        with pytest.raises(Exception, match="does not match its manifest"):
+            S.read_store(spark, bad).collect()
+
+
+def test_ids_wider_than_the_store_are_refused(docs, tmp_path):
+    with pytest.raises(Exception, match="wider than"):
+        S.write_store(docs.where("doc_id = 3"), str(tmp_path / "s"), T.vocabulary_path("word_bpe_49k.json"), width=1)
+
+
 def test_store_empty(spark, no_docs, tmp_path):
     S.write_store(no_docs, str(tmp_path / "s"), T.vocabulary_path("word_bpe_49k.json"))
     assert S.read_store(spark, str(tmp_path / "s")).count() == 0
@@ -89,8 +115,6 @@ def test_pack(docs, no_docs):
 
 
 def test_genetic_steps_keep_every_piece():
-    import random
-
     rng = random.Random(5)
     sizes = [rng.randint(300, 1200) for _ in range(200)]
     one = [[i] for i in range(200)]
@@ -100,3 +124,37 @@ def test_genetic_steps_keep_every_piece():
         assert sorted(i for g in groups for i in g) == list(range(200))
         assert max(sum(sizes[i] for i in g) for g in groups) <= 2048
     assert fitness(sizes, best, 2048) >= fitness(sizes, one, 2048)
+
+
+def test_crossover_closes_what_best_fit_leaves_open(monkeypatch):
+    """Best fit decreasing needs three sequences; a full one injected from the other parent leaves what fits into one."""
+    sizes = [5, 4, 3, 3, 3, 2]
+    by_size = best_fit(sizes, sorted(range(6), key=lambda i: -sizes[i]), [], 10)
+    other = [[0, 2, 5], [1], [3, 4]]
+    assert len(by_size) == 3
+    children = [crossover(sizes, by_size, other, 10, random.Random(k)) for k in range(10)]
+    assert min(map(len, children)) == 2
+    monkeypatch.setattr(packing, "mutated", lambda sizes, groups, *_: groups)  # crossover alone
+    assert min(len(evolve(sizes, [by_size, other], 10, random.Random(k), population=2)) for k in range(5)) == 2
+
+
+def test_every_block_is_bred(monkeypatch):
+    """A generation runs even where a seed is at the least possible number already."""
+    calls = []
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or crossover(*a))
+    assert len(evolve([1024] * 8, [], 2048, random.Random(1))) == 4 and calls
+
+
+def test_breeding_beats_best_fit_decreasing():
+    """Pieces cut from full sequences in threes: best fit decreasing wastes some, breeding less."""
+    rng, won = random.Random(3), 0
+    for k in range(4):
+        sizes = []
+        for _ in range(60):
+            a, b = sorted(rng.sample(range(300, 1500), 2))
+            sizes += [a, b - a, 2048 - b] if b - a > 0 else [1024, 1024]
+        by_size = best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), [], 2048)
+        bred = evolve(sizes, [], 2048, random.Random(k), generations=60)
+        assert len(bred) <= len(by_size)
+        won += fitness(sizes, bred, 2048) > fitness(sizes, by_size, 2048)
+    assert won >= 3
