@@ -4,7 +4,9 @@ A candidate is a longest run of one character class (hex digits of either case,
 or the base64 alphabets). A window slides over it; counts of its characters and
 the sum of c*log2(c) are kept up to date as one character enters and one leaves,
 so each step costs the same whatever the window. Windows at or above the class's
-threshold are joined to spans. An allow-list takes away what only looks random.
+threshold are joined to spans. An allow-list takes away what only looks random:
+candidates and spans of a harmless form, and marks such as ``example``, at which a
+candidate is cut while what stands beside them is still looked at.
 """
 
 from __future__ import annotations
@@ -33,14 +35,17 @@ CLASSES = {
     "hex": (re.compile(r"[0-9A-Fa-f]{24,}"), 24, 2.9),
     "base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 3.75),
 }
-#: What the allow-list takes away: one kind of letters or digits only, example keys, a repeated unit, web paths, UUIDs in words.
-ALLOWED = (
+#: Forms of which a whole candidate has nothing random: one kind of letters or digits, a repeated unit, words with a number, UUIDs.
+FORMS = (
     re.compile(r"[a-z_/=-]+|[A-Z_/=-]+|[A-Z]?[a-z/_=-]+|[0-9+/_=-]+"),
-    re.compile(r"(?i:.*(?:example|placeholder|changeme|lorem|test_?key|xxxx|1234567).*)"),
     re.compile(r"(.{1,8})\1{2,}.{0,8}", re.DOTALL),
     re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{0,4}"),
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
 )
+#: Marks of what is no secret: a candidate is cut at them, and what lies on either side is looked at by itself.
+MARKS = re.compile(r"example|placeholder|changeme|lorem|test_?key|x{4,}|1234567[0-9]*", re.IGNORECASE)
+#: A published example key.
+PUBLISHED = ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",)
 #: RE2 forms that hold whenever the patterns above do: texts without a match are not looked at again.
 _MAY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{16}|[A-Za-z0-9+/_=-]{24}"""
 
@@ -75,19 +80,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in _HEX.finditer(text) if m.end() - m.start() >= _LEAST["hex"]]
 
 
+def candidates(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Runs of a class without published keys and marks, each in its pieces; a run that has one of FORMS is left out whole, and so is such a piece."""
+    for m in pattern.finditer(text):
+        if any(form.fullmatch(m[0]) for form in FORMS) or any(key in m[0] for key in PUBLISHED):
+            continue
+        at = m.start()
+        for mark in MARKS.finditer(text, *m.span()):
+            yield at, mark.start()
+            at = mark.end()
+        yield at, m.end()
+
+
 def entropy_spans(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of random strings that no known span covers and no allow-list entry takes away."""
-    found: list[tuple[int, int]] = []
+    """Spans of random strings that the allow-list leaves and that no known span, and no other of them, covers."""
+    found = []
     for pattern, window, least in CLASSES.values():
-        for m in pattern.finditer(text):
-            if any(rule.fullmatch(m[0]) for rule in ALLOWED):
-                continue
-            for a, b in window_spans(m[0], window, least):
-                span = (m.start() + a, m.start() + b)
-                covered = any(s <= span[0] and span[1] <= e for _, s, e in known) or any(s <= span[0] and span[1] <= e for s, e in found)
-                if not covered and not any(rule.fullmatch(text, *span) for rule in ALLOWED):
-                    found.append(span)
-    return [("entropy", a, b) for a, b in found]
+        for begin, end in candidates(text, pattern):
+            for a, b in window_spans(text[begin:end], window, least):
+                if not any(form.fullmatch(text, begin + a, begin + b) for form in FORMS):
+                    found.append((begin + a, begin + b, False))
+    out, reach = [], -1
+    # By start, the longest first, known ones before others: what ends within the reach of those before it is covered.
+    for a, b, base in sorted([*((a, b, True) for _, a, b in known), *found], key=lambda x: (x[0], -x[1], not x[2])):
+        if not base and b > reach:
+            out.append(("entropy", a, b))
+        reach = max(reach, b)
+    return out
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
@@ -145,7 +164,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every secret in ``text`` replaced; all rows and columns stay, n_chars (if there) follows the text."""
+    """The documents with every secret in ``text`` replaced; all rows and columns stay, n_chars (if there) follows the text.
+
+    Null and empty texts stay as they are; whole texts are read, however long;
+    repeated rows and null ids stay and are changed alike; an empty table gives none.
+    Other columns, whatever their names, are handed on.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
