@@ -1,18 +1,21 @@
 """Quality rules whose cutoffs come from the documents: quantile sketches per language and source.
 
-Features of whole texts are summed up in mergeable KLL sketches, one for each
-(lang, source). A group too small to judge itself takes the merged sketch of its
-language, and a small language that of all documents. A feature's cutoff is an
+Features of whole texts are summed up in mergeable quantile sketches, one for each
+(lang, source): counts of values in buckets whose bounds grow by a fixed factor, so
+that a quantile is off by ACCURACY of itself at most and sketches merge by adding
+counts, with the same result in any order. A group too small to judge itself takes
+the merged sketch of its language, and a small language that of all documents. A feature's cutoff is an
 outer fence, the upper quartile plus a multiple of the spread between quartiles;
 documents are joined with their group's cutoffs and filtered.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortal.llm.shared import table, written
@@ -31,6 +34,8 @@ FENCES = {
 }
 #: Documents from which on a group is judged by its own sketch.
 LEAST_GROUP = 100
+#: Largest relative error of a quantile.
+ACCURACY = 0.005
 
 
 def text_features(text: str | None) -> tuple[int, int, int, int, int, int, int, int]:
@@ -85,21 +90,40 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def sketches(rows: DataFrame) -> DataFrame:
+    """lang, source, feature, bucket (null: the value 0), n: the sketch of each feature in each group. ``rows``: what ``features`` returns."""
+    growth = math.log((1 + ACCURACY) / (1 - ACCURACY))
+    bucket = lambda c: F.when(F.col(c) > 0, F.ceil(F.ln(c) / growth).cast("int"))
+    long = rows.select("lang", "source", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), bucket(c).alias("bucket")) for c in FENCES])))
+    return long.groupBy("lang", "source", "feature", "bucket").agg(F.count("*").alias("n"))
+
+
+def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """``by``, n and, for each feature, low and high (its quartiles) of merged sketches."""
+    merged = sketch.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
+    within = Window.partitionBy(*by, "feature")
+    upto = F.sum("n").over(within.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = merged.withColumns({"upto": upto, "whole": F.sum("n").over(within)})
+    growth = (1 + ACCURACY) / (1 - ACCURACY)
+    value = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(growth), F.col("bucket")) / (1 + growth))
+    at = lambda c, q: F.min(F.when((F.col("feature") == c) & (F.col("upto") > q * (F.col("whole") - 1)), value))
+    return ranked.groupBy(*by).agg(F.max("whole").alias("n"), *[F.struct(at(c, 0.25).alias("low"), at(c, 0.75).alias("high")).alias(c) for c in FENCES])
+
+
 def cutoffs(rows: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     """lang, source and a cutoff for each feature, from merged sketches. ``rows``: what ``features`` returns.
 
-    Sketches are built where rows are and merged on the way, so a group that holds
-    a third of all rows costs no task more than others.
+    Values are counted where rows are, so a group that holds a third of all rows
+    costs no task more than others; a sketch has a few thousand buckets at most.
     """
+    sketch = written(sketches(rows))
     names = list(FENCES)
-    own = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(c).alias(c) for c in names])
-    merged = lambda: (F.sum("n").alias("n"), *[F.kll_merge_agg_double(c).alias(c) for c in names])
-    by_lang = own.groupBy("lang").agg(*merged()).select(F.col("lang").alias("lang_key"), F.struct("n", *names).alias("wide"))
-    overall = own.groupBy().agg(*merged()).select(F.struct("n", *names).alias("all"))  # one row
+    own = quartiles(sketch, "lang", "source")
+    by_lang = quartiles(sketch, "lang").select(F.col("lang").alias("lang_key"), F.struct("n", *names).alias("wide"))
+    overall = quartiles(sketch).select(F.struct("n", *names).alias("all"))  # one row
     joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("lang_key"))).crossJoin(F.broadcast(overall))
     best = lambda c: F.when(F.col("n") >= least_group, F.col(c)).when(F.col("wide.n") >= least_group, F.col(f"wide.{c}")).otherwise(F.col(f"all.{c}"))
-    at = lambda c, q: F.kll_sketch_get_quantile_double(best(c), F.lit(q))
-    fence = lambda c, k, least: at(c, 0.75) + k * F.greatest(at(c, 0.75) - at(c, 0.25), F.lit(least))
+    fence = lambda c, k, least: best(c)["high"] + k * F.greatest(best(c)["high"] - best(c)["low"], F.lit(least))
     return joined.select(F.col("lang").alias("cut_lang"), F.col("source").alias("cut_source"), *[fence(c, k, x).alias(f"{c}_most") for c, (k, x) in FENCES.items()])
 
 
@@ -128,7 +152,9 @@ def _judged(rows: DataFrame, cut: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``judge`` keeps.
 
-    Texts are read twice, once for the sketches and once for the verdicts, and never shuffled.
+    Texts are read twice, once for the sketches and once for the verdicts, and
+    never shuffled. Nulls, empty and long texts, repeated rows and empty tables are
+    treated as by ``judge``; other columns, whatever their names, are handed on.
     """
     cut = written(cutoffs(written(features(docs)), least_group))  # its size is known now, so that texts need no shuffle
     again = docs.select("doc_id", "lang", "source", "text", *[F.col(c).alias(f"_in_{c}") for c in docs.columns])
