@@ -1,24 +1,26 @@
 """Sharding along a Hilbert curve over several metadata dimensions (DataFrame functions only).
 
-Dimensions are quantised to equally filled cells, each row gets the index of its
-cell on the curve, rows are ordered by that index, and the order is cut into runs
-of near equal size. Rows near each other on the curve are alike in every
-dimension, so a reader prunes files by the ranges of any of them.
+Dimensions are quantised to equally filled cells, each group of equal texts gets the
+index of its cell on the curve, groups are ordered by that index, and the order is
+cut into runs of near equal size. Groups near each other on the curve are alike in
+every dimension, so a reader prunes files by the ranges of any of them.
 
 The order is never made in one task: sums over curve cells, then over slices of a
-cell, then rows in a slice give each row its place.
+cell, then over groups of a slice, then over slices of a group by id, then rows in
+such a slice give each row its place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cohortal.llm.shared import table, text_crc32, written
+from cohortal.operators.order import in_order, running
 
-#: Bits for each dimension on the curve; slices of a cell by text hash and by id.
+#: Bits for each dimension on the curve; slices of a cell by text hash, and of a group by id.
 BITS = 5
-TEXT_SLICES = 64
+TEXT_SLICES = 4096
 ID_SLICES = 64
 
 
@@ -70,11 +72,16 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
 
 
 def category_cells(df: DataFrame, column: str, bits: int = BITS) -> DataFrame:
-    """Each value of a column, null included, with the cell of its middle row when rows are ordered by value."""
+    """Each value of a column, null included, with the cell of its middle row when rows are ordered by value. Values may be many."""
     counts = df.groupBy(column).agg(F.count("*").alias("rows"))
-    before = F.sum("rows").over(Window.orderBy(F.col(column).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("rows")
-    total = F.sum("rows").over(Window.partitionBy())
-    return counts.select(F.col(column).alias(f"{column}_value"), F.floor((before + F.col("rows") / 2) * (1 << bits) / total).cast("int").alias(f"{column}_cell"))
+    total = F.broadcast(counts.agg(F.sum("rows").alias("total")))  # one row
+    ranked = running(in_order(counts, column), [column], sums={"upto": F.col("rows")}).crossJoin(total)
+    return ranked.select(F.col(column).alias(f"{column}_value"), F.floor((F.col("upto") - F.col("rows") / 2) * (1 << bits) / F.col("total")).cast("int").alias(f"{column}_cell"))
+
+
+def _earlier(column: str, within: WindowSpec) -> Column:
+    """Sum of a column over the rows before a row."""
+    return F.coalesce(F.sum(column).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def shard(docs: DataFrame, n_shards: int = 8, categories: tuple[str, ...] = ("lang", "source"), bits: int = BITS) -> DataFrame:
@@ -83,47 +90,62 @@ def shard(docs: DataFrame, n_shards: int = 8, categories: tuple[str, ...] = ("la
     ``docs``: doc_id, text and the category columns; other columns are not read.
     A row's size is its text's UTF-8 bytes (null: none) plus 1. Returns doc_id,
     size, text_crc32 (null text: crc of nothing, 0), hilbert, shard, slot (gapless
-    from 0, in order of the curve). A shard differs from an equal share by less
-    than its largest row at either end. Order in a cell: slices of text hash and
-    id, then text hash, id and size; rows equal in all of these are
-    interchangeable, so repeated rows get slots of their own. Null categories are
-    values like others; an empty table gives no rows.
+    from 0, in order of the curve). Rows of equal texts (null counts as empty) are
+    a group: it lies where its least categories are, and in one shard. A shard
+    differs from an equal share by less than its largest group at either end. Only
+    a group larger than an equal share is cut, so that sizes stay near equal. Order
+    in a cell: slices of text hash, then text hash; in a group: slices of id, then
+    id; rows equal in all of these are interchangeable, so repeated rows get slots
+    of their own. Null categories are values like others; an empty table gives no
+    rows.
     """
     text = F.coalesce("text", F.lit(""))
     slim = written(
         docs.select(
             "doc_id",
-            *categories,
+            *[F.col(c).alias(f"dim_{k}") for k, c in enumerate(categories)],
             (F.octet_length(text) + 1).cast("long").alias("size"),
             text_crc32(text).alias("text_crc32"),
+            F.xxhash64(text).alias("text_key"),
         )
     )
-    cuts = slim.agg(F.percentile_approx("size", [k / (1 << bits) for k in range(1, 1 << bits)], 10_000).alias("cuts")).first()["cuts"] or []
+    dims = [f"dim_{k}" for k in range(len(categories))]
+    own = ("text_key", "text_crc32", "size")
+    # A group's part: its rows of one slice of ids.
+    parts = slim.groupBy(*own, F.pmod(F.xxhash64("doc_id"), F.lit(ID_SLICES)).cast("int").alias("part")).agg(F.count("*").alias("rows"), F.min(F.struct(*dims)).alias("dims"))
+    parts = written(parts)
+    groups = parts.groupBy(*own).agg(F.sum("rows").alias("rows"), F.min("dims").alias("dims")).select(*own, "rows", (F.col("rows") * F.col("size")).alias("bytes"), "dims.*")
+    cuts = groups.agg(F.percentile_approx("size", [k / (1 << bits) for k in range(1, 1 << bits)], 10_000).alias("cuts")).first()["cuts"] or []
     cells = [F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("size"))), F.lit(0)) if cuts else F.lit(0)]
-    rows = slim
-    for c in categories:
-        rows = rows.join(category_cells(slim, c, bits), F.col(c).eqNullSafe(F.col(f"{c}_value"))).drop(f"{c}_value")
+    for c in dims:
+        groups = groups.join(category_cells(slim, c, bits), F.col(c).eqNullSafe(F.col(f"{c}_value"))).drop(f"{c}_value")
         cells.append(F.col(f"{c}_cell"))
-    part = F.pmod(F.xxhash64("text_crc32"), F.lit(TEXT_SLICES)) * ID_SLICES + F.pmod(F.xxhash64("doc_id"), F.lit(ID_SLICES))
-    rows = written(rows.select("doc_id", "size", "text_crc32", hilbert_index(cells, bits).alias("hilbert"), part.cast("int").alias("slice")))
-
-    slices = rows.groupBy("hilbert", "slice").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    curve = slices.groupBy("hilbert").agg(F.sum("bytes").alias("cell_bytes"), F.sum("rows").alias("cell_rows"))
-    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    along = Window.orderBy("hilbert")
-    curve = curve.select(
-        "hilbert", earlier("cell_bytes", along).alias("bytes_0"), earlier("cell_rows", along).alias("rows_0"), F.sum("cell_bytes").over(Window.partitionBy()).alias("total")
-    )
+    groups = written(groups.select(*own, "rows", "bytes", hilbert_index(cells, bits).alias("hilbert"), F.pmod(F.xxhash64("text_key", "text_crc32"), F.lit(TEXT_SLICES)).cast("int").alias("slice")))
+
+    slices = groups.groupBy("hilbert", "slice").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    curve = slices.groupBy("hilbert").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    along = Window.orderBy("hilbert")  # a row a cell of the curve
+    curve = curve.select("hilbert", _earlier("bytes", along).alias("bytes_0"), _earlier("rows", along).alias("rows_0"), F.sum("bytes").over(Window.partitionBy()).alias("total"))
     within = Window.partitionBy("hilbert").orderBy("slice")
-    slices = slices.select("hilbert", "slice", earlier("bytes", within).alias("bytes_1"), earlier("rows", within).alias("rows_1")).join(curve, "hilbert")
-    order = Window.partitionBy("hilbert", "slice").orderBy("text_crc32", F.col("doc_id").asc_nulls_first(), "size")
-    placed = rows.withColumns({"bytes_2": earlier("size", order), "rows_2": F.row_number().over(order) - 1}).join(slices, ["hilbert", "slice"])
-    middle = F.col("bytes_0") + F.col("bytes_1") + F.col("bytes_2") + F.col("size") / 2
+    slices = slices.select("hilbert", "slice", _earlier("bytes", within).alias("bytes_1"), _earlier("rows", within).alias("rows_1")).join(curve, "hilbert")
+    inside = Window.partitionBy("hilbert", "slice").orderBy("text_key", "text_crc32", "size")
+    groups = groups.withColumns({"bytes_2": _earlier("bytes", inside), "rows_2": _earlier("rows", inside)}).join(slices, ["hilbert", "slice"])
+    begin = F.col("bytes_0") + F.col("bytes_1") + F.col("bytes_2")
+    groups = groups.select(*own, "hilbert", begin.alias("begin"), "bytes", "total", (F.col("rows_0") + F.col("rows_1") + F.col("rows_2")).alias("first"))
+
+    of_group = Window.partitionBy(*own).orderBy("part")
+    parts = parts.withColumn("rows_3", _earlier("rows", of_group)).drop("rows", "dims").join(groups, list(own))
+    order = Window.partitionBy(*own, "part").orderBy(F.col("doc_id").asc_nulls_first())
+    rows = slim.select("doc_id", *own, F.pmod(F.xxhash64("doc_id"), F.lit(ID_SLICES)).cast("int").alias("part")).withColumn("rows_4", F.row_number().over(order) - 1)
+    rows = rows.join(parts, [*own, "part"])
+    nth = F.col("rows_3") + F.col("rows_4")
+    share = F.col("total") / n_shards
+    middle = F.when(F.col("bytes") > share, F.col("begin") + (nth + 0.5) * F.col("size")).otherwise(F.col("begin") + F.col("bytes") / 2)
     placed = written(
-        placed.select(
+        rows.select(
             "doc_id", "size", "text_crc32", "hilbert",
-            F.least(F.floor(middle * n_shards / F.col("total")), F.lit(n_shards - 1)).cast("int").alias("shard"),
-            (F.col("rows_0") + F.col("rows_1") + F.col("rows_2")).alias("place"),
+            F.least(F.floor(middle / share), F.lit(n_shards - 1)).cast("int").alias("shard"),
+            (F.col("first") + nth).alias("place"),
         )
     )
     starts = placed.groupBy("shard").agg(F.min("place").alias("first"))  # a row for each shard
@@ -133,7 +155,10 @@ def shard(docs: DataFrame, n_shards: int = 8, categories: tuple[str, ...] = ("la
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, files_per_shard: int = 8, **options) -> DataFrame:
     """Write the whole documents under ``path``, a folder for each shard, rows in order of slot. Returns what ``shard`` does.
 
-    Each shard is cut into ``files_per_shard`` runs of slots, so that no task writes a whole shard.
+    Each shard is cut into ``files_per_shard`` runs of slots, so that no task writes a
+    whole shard. Nulls, empty and long texts, ties, repeated rows and an empty table
+    are treated as by ``shard``; columns named shard or slot give way to the shard's,
+    all others are handed on.
     """
     placed = written(shard(docs, n_shards, **options))
     again = Window.partitionBy("doc_id", "text_crc32").orderBy("slot")

@@ -66,10 +66,36 @@ def test_shard(spark, docs, no_docs, tmp_path):
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert all(r["size"] == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) and 0 <= r.shard < 8 for r in rows)
-    even = spark.createDataFrame([(i, "x" * (1 + i % 50), "en", f"s{i % 7}") for i in range(3000)], "doc_id long, text string, lang string, source string")
+    # Texts are all different, as equal ones lie in one shard; sizes are 6 to 55 bytes.
+    even = spark.createDataFrame([(i, f"{i:05d}" + "x" * (i % 50), "en", f"s{i % 7}") for i in range(3000)], "doc_id long, text string, lang string, source string")
     size = {}
     for r in H.shard(even).collect():
         size[r.shard] = size.get(r.shard, 0) + r["size"]
-    assert len(size) == 8 and max(size.values()) - min(size.values()) <= 102
+    assert len(size) == 8
+    assert max(size.values()) - min(size.values()) <= 112
     H.write_shards(even, str(tmp_path / "shards"))
     assert spark.read.parquet(str(tmp_path / "shards")).count() == 3000
+
+
+def test_shards_against_a_plain_sort(spark):
+    """Equal texts lie in one shard, a group larger than a share is cut, sizes are near equal, and slots follow the curve."""
+    rows = [(i, f"text {i // 3} " + "y" * (i // 3 % 40), ["en", "de", None][i % 3], f"s{i % 5}") for i in range(1500)]
+    rows += [(2000 + i, "copy of one text, often", "en", f"s{i % 4}") for i in range(40)] + [(5000, None, None, None), (5001, "", "en", "s1")]
+    for most in (0, 1800):
+        table = rows + [(10000 + i, "a group that fills more than a shard", "en", "s0") for i in range(most)]
+        got = H.shard(spark.createDataFrame(table, "doc_id long, text string, lang string, source string").repartition(5)).collect()
+        texts = {r[0]: r[1] or "" for r in table}
+        assert len(got) == len(table)
+        homes, size = {}, {}
+        for r in got:
+            homes.setdefault(texts[r.doc_id], set()).add(r.shard)
+            size[r.shard] = size.get(r.shard, 0) + r["size"]
+        cut = [t for t, h in homes.items() if len(h) > 1]
+        assert cut == (["a group that fills more than a shard"] if most else [])
+        groups = {t: sum(len(texts[i]) + 1 for i in texts if texts[i] == t) for t in homes if t not in cut}
+        share = sum(size.values()) / 8
+        assert len(size) == 8 and all(abs(v - share) < 2 * max(groups.values()) for v in size.values())
+        order = sorted(got, key=lambda r: (r.shard, r.slot))
+        assert [r.hilbert for r in order] == sorted(r.hilbert for r in got)
+        for k in range(8):
+            assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
