@@ -1,9 +1,11 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded along the tree.
 
 Each block of a page gets features of its subtree (text density, links), its
-attributes, depth and siblings. Boosted trees, trained here on pages composed by
-rule with known parts, give the odds that it belongs to the article. Decoding picks
-the best set of kept blocks in which no block is kept below one that is dropped.
+attributes, depth and siblings. The words of its class, id, role and label are
+hashed tokens; how much each speaks for the article is learned from pages composed
+by rule with known parts. Boosted trees, fitted on other such pages, give the odds
+that a block belongs to the article. Decoding picks the best set of kept blocks in
+which no block is kept below one that is dropped.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import html
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,30 +27,23 @@ from cohortal.llm.shared import table
 
 # Fixed names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math select button object canvas audio video datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose content is no text of the page, up to their end tag; of the first their text is not markup.
+CODE = frozenset("script style".split())
+RAW = CODE | frozenset("textarea title noscript iframe xmp noembed noframes template svg select button object canvas audio video datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An element that ends an open one of these kinds, up to the nearest list or table.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table body html menu".split())
-#: Groups of element names, and of words in class, id and role, that are features.
+#: Groups of element names that are features.
 TAG_GROUPS = ("p", "h1 h2 h3", "h4 h5 h6", "li", "ul ol menu dl", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form fieldset", "table tbody tr td th", "blockquote pre figure figcaption", "#text")
-WORD_GROUPS = (
-    "article content main post entry story body text prose blog news",
-    "nav navbar navigation menu breadcrumb breadcrumbs topnav links toc pager pagination",
-    "header masthead topbar banner branding logo hero",
-    "footer copyright legal colophon foot",
-    "side sidebar aside widget related recommend recommended share social rail trending popular",
-    "ad ads advert adverts advertisement sponsor sponsored promo promotion promoted",
-    "comment comments reply replies discussion respond disqus feedback",
-    "cookie cookies notice consent alert popup modal newsletter subscribe gdpr privacy message warning dialog overlay",
-    "form search login signup signin contact",
-)
+#: Buckets of hashed tokens; composed pages from which tokens, and from which trees are learned.
+BUCKETS, TOKEN_PAGES, TREE_PAGES = 1 << 18, 400, 400
 _ARTICLE, _BESIDE = frozenset(("article", "main")), frozenset(("nav", "header", "footer", "aside", "form"))
 _OWN = 11  # features of a node itself, besides its name and words
 _GROUP = {tag: i for i, group in enumerate(TAG_GROUPS) for tag in group.split()}
-_WORD = {word: i for i, group in enumerate(WORD_GROUPS) for word in group.split()}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.DOTALL)
+#: Quotes hold a value together only behind an equals sign; a tag may end with the page.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?][^>]*>?""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _STOPS = re.compile(r"[.,;:!?]")
@@ -67,10 +63,10 @@ class Node:
 
 
 @functools.lru_cache(maxsize=20_000)
-def attribute_words(attributes: str) -> tuple[int, ...]:
-    """Groups of the words in class, id, role and label."""
-    found = {_WORD.get(w.lower()) for m in _ATTRIBUTE.finditer(attributes) for w in _LETTERS.findall(m[1])}
-    return tuple(sorted(found - {None}))
+def attribute_tokens(attributes: str) -> tuple[int, ...]:
+    """Buckets of the distinct words in class, id, role and label, ASCII letters lower-cased."""
+    found = {w.lower() for m in _ATTRIBUTE.finditer(attributes) for w in _LETTERS.findall(m[1])}
+    return tuple(sorted({zlib.crc32(w.encode()) % BUCKETS for w in found}))
 
 
 def parse(page: str) -> Node:
@@ -99,7 +95,7 @@ def parse(page: str) -> Node:
         top = open_tags[i][1]
         del open_tags[i:]
 
-    skip_to = 0
+    skip_to, endless = 0, set()
     for m in _TOKEN.finditer(page):
         if m.start() < skip_to:
             continue
@@ -115,8 +111,15 @@ def parse(page: str) -> Node:
                     break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = skip_to = end.end() if end else len(page)
+            if tag not in endless and not m[3].endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+                if end:
+                    at = skip_to = end.end()
+                    continue
+                endless.add(tag)
+            # Without an end tag the element is only its own tag, and code what stands before the next one.
+            if tag in CODE and not m[3].endswith("/"):
+                at = max(at, page.find("<", at) % (len(page) + 1))
             continue
         if tag == "br":
             add(" ")
@@ -144,7 +147,7 @@ def parse(page: str) -> Node:
         if tag not in VOID:
             open_tags.append((tag, top))
             if tag not in ("html", "body"):
-                top = Node(tag, top, attribute_words(m[3]) if "=" in m[3] else ())
+                top = Node(tag, top, attribute_tokens(m[3]) if "=" in m[3] else ())
     add(page[at:])
     return root
 
@@ -174,11 +177,23 @@ def nodes_of(root: Node) -> list[Node]:
     return order
 
 
-def node_features(order: list[Node]) -> np.ndarray:
-    """A row of features for each node."""
+def token_weights(trees: list[list[Node]], good: list[list[bool]]) -> np.ndarray:
+    """For each bucket how much its tokens speak for the article: log odds of the nodes that have them, beside those of all nodes."""
+    counts = np.ones((2, BUCKETS))
+    for order, marks in zip(trees, good):
+        for node, mark in zip(order, marks):
+            for token in node.words:
+                counts[int(mark), token] += 1
+    share = np.mean([m for marks in good for m in marks])
+    weights = np.log(counts[1] / counts[0]) - math.log(share / (1 - share))
+    return np.where(counts.sum(0) > 2, weights, 0.0).astype(np.float32)
+
+
+def node_features(order: list[Node], weights: np.ndarray | None = None) -> np.ndarray:
+    """A row of features for each node. ``weights``: of tokens; none: no token says anything."""
     whole = max(1, order[0].chars)
-    own, words = _OWN + len(TAG_GROUPS), len(WORD_GROUPS)
-    in_word, around, in_tag = own + words, own + 2 * words, own + 3 * words
+    own = _OWN + len(TAG_GROUPS)  # two for the node's tokens, two for all above, two for its parent's
+    in_tag = own + 6
     above = in_tag + len(TAG_GROUPS)
     rows = np.zeros((len(order), above + _OWN + 3))
     place: dict[int, int] = {}
@@ -192,16 +207,17 @@ def node_features(order: list[Node]) -> np.ndarray:
         index, same = among.get(id(node), (0, 0))
         if p:
             up = rows[place[id(p)]]
-            row[in_word:around] = np.maximum(up[in_word:around], up[own:in_word])
-            row[around:in_tag] = up[own:in_word]
+            row[own + 2] = min(up[own + 2], up[own])
+            row[own + 3] = max(up[own + 3], up[own + 1])
+            row[own + 4 : own + 6] = up[own : own + 2]
             row[in_tag:above] = np.maximum(up[in_tag:above], up[_OWN:own])
             row[above : above + _OWN] = up[:_OWN]
             row[above + _OWN] = _GROUP.get(p.tag, -1)
             row[-2:] = up[-2:]
-        if node.tag in _ARTICLE or 0 in node.words:
-            row[-2] = 1  # in something named as the article
-        if node.tag in _BESIDE or node.words[-1:] > (0,):
-            row[-1] = 1  # in something named as another part
+        if node.tag in _ARTICLE:
+            row[-2] = 1  # in an element for the article
+        if node.tag in _BESIDE:
+            row[-1] = 1  # in an element for another part
         row[:_OWN] = (
             node.depth, index / max(1, len(p.children)) if p else 0, len(p.children) if p else 0, same,
             math.log1p(node.chars), node.linked / max(1, node.chars), math.log1p(node.tags), node.chars / node.tags,
@@ -209,8 +225,9 @@ def node_features(order: list[Node]) -> np.ndarray:
         )
         if (g := _GROUP.get(node.tag)) is not None:
             row[_OWN + g] = 1
-        for w in node.words:
-            row[own + w] = 1
+        if node.words and weights is not None:
+            said = weights[list(node.words)]
+            row[own], row[own + 1] = min(0.0, said.min()), max(0.0, said.max())
     return rows
 
 
@@ -219,6 +236,7 @@ class BoostedTrees:
 
     def __init__(self, trees: int = 50, depth: int = 4, rate: float = 0.3, bins: int = 32):
         self.trees, self.depth, self.rate, self.bins = trees, depth, rate, bins
+        self.weights: np.ndarray | None = None  # of tokens, beside the trees
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(self.edges)], 1)
@@ -265,6 +283,21 @@ class BoostedTrees:
         return score
 
 
+# Words by which the composed pages name their parts, and words that name none.
+WORD_GROUPS = (
+    "article content main post entry story body text prose blog news",
+    "nav navbar navigation menu breadcrumb breadcrumbs topnav links toc pager pagination",
+    "header masthead topbar banner branding logo hero",
+    "footer copyright legal colophon foot",
+    "side sidebar aside widget related recommend recommended share social rail trending popular",
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion promoted",
+    "comment comments reply replies discussion respond disqus feedback",
+    "cookie cookies notice consent alert popup modal newsletter subscribe gdpr privacy message warning dialog overlay",
+    "form search login signup signin contact",
+)
+NEUTRAL = "col row container wrap inner box item block page clearfix left right wide first last grid cell js".split()
+
+
 def training_page(rng: random.Random) -> tuple[str, set[str]]:
     """A page composed by rule, and the words that mark its article's blocks (each text begins with its mark)."""
     marks, n = set(), [0]
@@ -285,7 +318,20 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
         tag, word = rng.choice(tags.split()), rng.choice(WORD_GROUPS[group].split())
         plain = tag in ("div", "section", "ul", "p")
         name = rng.choice([word, f"{word}-{rng.choice(['box', 'wrap', 'area', 'x1'])}", f"the_{word}"])
-        return f'<{tag} {rng.choice(["class", "id"])}="{name}">' if plain or rng.random() < 0.3 else f"<{tag}>", f"</{tag}>"
+        return f'<{tag} {rng.choice(["class", "id"])}="{beside(name)}">' if plain or rng.random() < 0.3 else f"<{tag}{bare()}>", f"</{tag}>"
+
+    def beside(name: str) -> str:
+        """A telling name among neutral ones."""
+        names = [name, *rng.choices(NEUTRAL, k=rng.choice([0, 0, 0, 1, 2]))]
+        rng.shuffle(names)
+        return " ".join(names)
+
+    def bare() -> str:
+        """An attribute that tells nothing, or none."""
+        if rng.random() < 0.85:
+            return ""
+        word = rng.choice(NEUTRAL) if rng.random() < 0.5 else "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+        return f' class="{word}{rng.choice(["", "-1", " " + rng.choice(NEUTRAL)])}"'
 
     def links(k: int) -> str:
         items = "".join(f"<li><a href='/{i}'>{text(rng.randint(1, 4), False)}</a></li>" for i in range(k))
@@ -312,7 +358,7 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
         for _ in range(rng.choice([0, 1, 2, 4, 8, 15, 40]) if blocks else rng.randint(1, 12)):
             r = rng.random()
             if r < 0.8:
-                blocks.append(f"<p>{rng.choice(['', '<b>'])}{text(int(math.exp(rng.uniform(0, 5.3))), True)}{rng.choice(['', '<br>', '</p>'])}")
+                blocks.append(f"<p{bare()}>{rng.choice(['', '<b>'])}{text(int(math.exp(rng.uniform(0, 5.3))), True)}{rng.choice(['', '<br>', '</p>'])}")
             elif r < 0.88:
                 blocks.append(f"<h{rng.randint(2, 4)}>{text(rng.randint(1, 8), True)}</h2>")
             elif r < 0.94:
@@ -323,7 +369,7 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
             blocks.insert(rng.randint(0, len(blocks)), part(rng.choice(["ad", "side", "notice", "form"])))
         begin, end = named(rng.choice(["article article", "main section", "div"]), 0)
         inner = begin + "".join(blocks) + end
-        return f"<{(t := rng.choice(['main', 'div']))}>{inner}</{t}>" if rng.random() < 0.4 else inner
+        return f"<{(t := rng.choice(['main', 'div']))}{bare()}>{inner}</{t}>" if rng.random() < 0.4 else inner
 
     before = [part(k) for k in ("notice", "header", "nav", "ad", "form", "side") if rng.random() < 0.5]
     after = [part(k) for k in ("comments", "side", "ad", "form", "notice", "nav", "footer") if rng.random() < 0.5]
@@ -332,19 +378,23 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
 
 
 @functools.cache
-def trained(pages: int = 400, seed: int = 3) -> BoostedTrees:
-    """The model, fitted on a fixed number of composed pages."""
-    rng, xs, ys = random.Random(seed), [], []
-    for _ in range(pages):
+def trained(token_pages: int = TOKEN_PAGES, tree_pages: int = TREE_PAGES, seed: int = 3) -> BoostedTrees:
+    """The model: tokens' weights from a fixed number of composed pages, trees from a fixed number of others."""
+    rng, trees, goods = random.Random(seed), [], []
+    for _ in range(token_pages + tree_pages):
         page, marks = training_page(rng)
         order = nodes_of(parse(page))
         good: set[int] = set()
         for node in reversed(order):
             if id(node) in good or (node.tag == "#text" and node.text[0].split(" ")[0] in marks):
                 good |= {id(node), id(node.parent)}
-        xs.append(node_features(order))
-        ys.append([id(node) in good for node in order])
-    return BoostedTrees().fit(np.concatenate(xs), np.concatenate(ys).astype(float))
+        trees.append(order)
+        goods.append([id(node) in good for node in order])
+    weights = token_weights(trees[:token_pages], goods[:token_pages])
+    rows = np.concatenate([node_features(t, weights) for t in trees[token_pages:]])
+    model = BoostedTrees().fit(rows, np.concatenate(goods[token_pages:]).astype(float))
+    model.weights = weights
+    return model
 
 
 def decode(order: list[Node], odds: np.ndarray) -> list[str]:
@@ -377,7 +427,7 @@ def extract(pages: list[str | None], model: BoostedTrees) -> list[str]:
     trees = [nodes_of(parse(p or "")) for p in pages]
     if not trees:
         return []
-    odds = model.log_odds(np.concatenate([node_features(t) for t in trees]))
+    odds = model.log_odds(np.concatenate([node_features(t, model.weights) for t in trees]))
     ends = np.cumsum([0, *map(len, trees)])
     return ["\n".join(decode(t, odds[a:b])) for t, a, b in zip(trees, ends, ends[1:])]
 

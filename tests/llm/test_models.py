@@ -174,3 +174,53 @@ def test_sibling_features_of_many_children():
     siblings = [(n, r) for n, r in zip(order, rows) if n.parent and n.parent.tag == "div"]
     assert len(siblings) == 200 and all(r[2] == 200 and r[3] == 100 for _, r in siblings)
     assert [round(r[1] * 200) for _, r in siblings] == list(range(200))
+
+
+LONG = "The council met on Tuesday evening to decide about the old bridge, which has been closed since the flood of last spring. Engineers said that repairs will take two years, and that a ferry could serve until then."
+
+
+def extracted(body):
+    return W.extract([f"<html><head><title>t</title></head><body>{body}</body></html>"], W.trained())[0]
+
+
+def test_what_has_no_end_tag_swallows_nothing():
+    article = f"<article><h1>Bridge stays closed</h1><p>{LONG}</p><p>{LONG}</p></article>"
+    want = f"Bridge stays closed\n{LONG}\n{LONG}"
+    for before in ("<svg class='i'/>", "<svg class=i>", "<button class=menu>", "<video src=x>", "<select name=a>", "<script src=x />", "<style>", "<title/>"):
+        assert extracted(before + article) == want, before
+    assert extracted("<svg><path d='M0 0'/><title>icon</title></svg><button>Menu</button><script>if (a < b) document.write('<p>x</p>')</script>" + article) == want
+
+
+def test_formulas_stay():
+    assert "is mc2 as all of us know" in extracted(f"<article><p>{LONG}</p><p>Energy is <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> as all of us know, {LONG}</p></article>")
+
+
+def test_broken_attributes_are_no_text():
+    for tag in ("<p title=it's>", '<p title=5">', "<p title='a > b'>", '<p data-x="<p>">', "<p a=b'c d='e>"):
+        text = extracted(f"<article><h1>Bridge stays closed</h1>{tag}{LONG}</p><p>{LONG}</p></article>")
+        assert text == f"Bridge stays closed\n{LONG}\n{LONG}", tag
+    assert extracted(f"<article><p>{LONG}</p><p>{LONG}</p></article><p class='x") == f"{LONG}\n{LONG}"
+
+
+def test_tokens_are_learned():
+    weights = W.trained().weights
+    of = lambda word: weights[W.attribute_tokens(f'class="{word}"')[0]]
+    assert of("article") > 1 and of("sidebar") < -1 and of("comments") < -1 and of("never-seen"[:5]) == 0 and len(weights) == W.BUCKETS
+
+
+def test_pages_of_another_kind():
+    """Pages written by hand in styles that the composed ones do not have."""
+    side = "<li><a href=/a>Sports today</a></li><li><a href=/b>Weather</a></li><li><a href=/c>Traffic news</a></li>"
+    shell = f"<div id=masthead class='site-header js'><a href=/>The Herald</a></div><div class='navbar navbar-expand'><ul>{side}</ul></div>"
+    foot = "<div class='site-footer'><p>&copy; 2024 The Herald. All rights reserved. <a href=/i>Imprint</a></p></div>"
+    want = ["Bridge stays closed", LONG, LONG + " More follows.", LONG + " End."]
+    parts = lambda tag: "".join(f"<{tag}>{t}</{tag}>" for t in want[1:])
+    pages = {
+        "divs": f"{shell}<div class='container'><div class='row'><div class='col-8 post-content'><h1>{want[0]}</h1>{parts('p')}</div><div class='col-4 sidebar'><h3>Most read</h3><ul>{side}</ul></div></div></div>{foot}",
+        "main": f"{shell}<main role=main><h1>{want[0]}</h1>{parts('p')}</main><div id=comments><h3>Comments</h3><div class=comment><p>Nice one, I walked there as a child.</p></div></div>{foot}",
+        "advert": f"{shell}<article class=story><h1>{want[0]}</h1><p>{want[1]}</p><div class='advert box'><p>Buy two, pay one!</p></div><p>{want[2]}</p><p>{want[3]}</p></article>{foot}",
+        "cookies": f"<div class='cookie-banner'><p>We use cookies to improve this site. By going on you agree.</p><button>OK</button></div>{shell}<section class='article-body'><h1>{want[0]}</h1>{parts('p')}</section><form action=/s><label>Search</label><input></form>{foot}",
+        "plain": f"<nav><ul>{side}</ul></nav><article><h1>{want[0]}</h1>{parts('p')}</article><footer>&copy; Herald</footer>",
+    }
+    right = sum(extracted(body).split("\n") == want for body in pages.values())
+    assert right >= 4, {k: extracted(v)[:300] for k, v in pages.items()}
