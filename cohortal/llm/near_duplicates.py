@@ -14,6 +14,7 @@ against all others, exactly; only links leave the task.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortal.llm.shared import table, whole_texts, written
+from cohortal.llm.shared import blocks, table, whole_texts, written
 
 SHINGLE = 5
 #: A link has 100 * intersection >= PERCENT * union.
@@ -36,8 +37,10 @@ SKETCH_BITS, ALIKE = 256, 86
 STRONG = 40
 #: The first bands' edges are tested first; they form nearly all components.
 FIRST_BANDS = 8
-#: Edges that one task joins at most, about 100 MB; larger graphs are joined by rounds of all tasks.
+#: Edges that one task joins at most, about 150 MB; larger graphs are joined by rounds of all tasks.
 SMALL_GRAPH = 500_000
+#: Bytes of text whose sets are made at a time.
+BLOCK_BYTES = 4_000_000
 #: Bits of the filter of classes whose sets are read again.
 FILTER_BITS = 1 << 26
 
@@ -81,9 +84,9 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def set_key(shingles: np.ndarray) -> int:
-    """A class's name: a signed 64-bit digest of its set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(shingles: np.ndarray) -> bytes:
+    """A class's name: a 128-bit digest of its set, so that even among 10**12 classes no two are likely to share one."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -169,8 +172,7 @@ def profile(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, whole.num_rows, 2000):
-                batch = whole.slice(begin, 2000)
+            for batch in blocks(whole, 1, BLOCK_BYTES):
                 sets = shingle_sets(batch.column(1))
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys, marks, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
@@ -178,11 +180,11 @@ def profile(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                     samples = signatures([sets[i] for i in full])
                     for i, mark, band in zip(full, odd_sketches(samples), band_keys(samples)):
                         keys[i], marks[i], bands[i] = set_key(sets[i]), mark.tobytes(), band
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *columns], ["doc_id", *carry, "n_shingles", "key", "sketch", "bands"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
-    return docs.select("doc_id", "text", *carry).mapInArrow(run, f"{kinds}, n_shingles bigint, key bigint, sketch binary, bands array<bigint>")
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, f"{kinds}, n_shingles bigint, key binary, sketch binary, bands array<bigint>")
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -209,35 +211,38 @@ def _ranges(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])
 
 
-def _edges(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    b, x, y = (np.array(c, np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-    return pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["bucket", "a", "b"])
+def _edges(bucket: np.ndarray, key: pa.ChunkedArray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Pairs of rows as edges between their keys, the lesser first."""
+    i, j = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    x, y = (key.take(pa.array(at)).combine_chunks() for at in (i, j))
+    ordered = pc.less(x, y)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[i]), pc.if_else(ordered, x, y), pc.if_else(ordered, y, x)], ["bucket", "a", "b"])
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """bucket, key, sketch to the edges of each bucket's forest."""
     for rows in _buckets(batches):
-        bucket, key = rows["bucket"].to_numpy(), rows["key"].to_numpy()
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(key), -1)
+        bucket = rows["bucket"].to_numpy()
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(bucket), -1)
         starts, ends = _ranges(bucket)
         a = starts[ends - starts == 2]
-        a = a[np.bitwise_count(sketch[a] ^ sketch[np.minimum(a + 1, len(key) - 1)]).sum(1) <= ALIKE]
-        out = list(zip(bucket[a].tolist(), key[a].tolist(), key[np.minimum(a + 1, len(key) - 1)].tolist()))
+        a = a[np.bitwise_count(sketch[a] ^ sketch[np.minimum(a + 1, len(bucket) - 1)]).sum(1) <= ALIKE]
+        pairs = list(zip(a.tolist(), (a + 1).tolist()))
         for k in np.flatnonzero(ends - starts > 2):
-            s = slice(starts[k], ends[k])
-            out += [(int(bucket[s.start]), int(key[s][i]), int(key[s][j])) for i, j in bucket_forest(sketch[s])]
-        yield _edges(out)
+            pairs += [(int(starts[k]) + i, int(starts[k]) + j) for i, j in bucket_forest(sketch[starts[k] : ends[k]])]
+        yield _edges(bucket, rows["key"], pairs)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """bucket, key, component, shingles to the links between components of each bucket."""
     for rows in _buckets(batches):
-        bucket, key, component = (rows[c].to_numpy() for c in ("bucket", "key", "component"))
+        bucket = rows["bucket"].to_numpy()
+        component = rows["component"].combine_chunks().dictionary_encode().indices.to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
-        out = []
+        pairs = []
         for a, b in zip(*_ranges(bucket)):
-            out += [(int(bucket[a]), int(key[a + i]), int(key[a + j])) for i, j in bucket_links(sets[a:b], component[a:b])]
-        yield _edges(out)
+            pairs += [(int(a) + i, int(a) + j) for i, j in bucket_links(sets[a:b], component[a:b])]
+        yield _edges(bucket, rows["key"], pairs)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,31 +257,35 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All edges of a small graph, in one task, to node and least node."""
-    parent: dict[int, int] = {}
+    parent: dict = {}
 
-    def find(x: int) -> int:
+    def find(x):
         while (up := parent.setdefault(x, x)) != x:
             parent[x] = parent[up]
             x = up
         return x
 
+    kind = None
     for batch in batches:
+        kind = batch.schema.field(0).type
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = find(u), find(v)
             parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(find, nodes), pa.int64())], ["node", "component"])
+    if kind is not None:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["node", "component"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, small: int | None = None) -> DataFrame:
     """node, component (its least node) of the graph with edges (a, b).
 
-    A graph of at most SMALL_GRAPH edges is joined in one task; a larger one by
+    A graph of at most ``small`` edges (SMALL_GRAPH) is joined in one task; a larger one by
     alternating large and small stars. Both give the same rows.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if edges.count() <= SMALL_GRAPH:
-        return written(edges.coalesce(1).mapInArrow(_joined, "node bigint, component bigint"))
+    if edges.count() <= (SMALL_GRAPH if small is None else small):
+        kind = edges.schema["u"].dataType.simpleString()
+        return written(edges.coalesce(1).mapInArrow(_joined, f"node {kind}, component {kind}"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -295,7 +304,7 @@ def components(links: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, shingles of the wanted classes. Texts are read again; a filter of fixed size spares most others the way."""
     spark = docs.sparkSession
-    bit = F.pmod(F.col("key"), F.lit(FILTER_BITS))
+    bit = F.crc32("key") % FILTER_BITS
     words = wanted.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).toArrow()
     filter_ = np.zeros(FILTER_BITS // 64, np.int64)
     filter_[words["word"].to_numpy()] = words["bits"].to_numpy()
@@ -303,25 +312,25 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = sent.value
-        done: set[int] = set()
+        done: set[bytes] = set()
         for whole in batches:
-            for begin in range(0, whole.num_rows, 2000):
+            for batch in blocks(whole, 0, BLOCK_BYTES):
                 keys, sets = [], []
-                for s in shingle_sets(whole.column(0).slice(begin, 2000)):
+                for s in shingle_sets(batch.column(0)):
                     if len(s):
                         key = set_key(s)
-                        at = key % FILTER_BITS
+                        at = zlib.crc32(key) % FILTER_BITS
                         if int(have[at // 64]) >> (at % 64) & 1 and key not in done:
                             done.add(key)
                             keys.append(key)
                             sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
 
-    found = docs.select("text").mapInArrow(run, "key bigint, shingles binary").join(wanted, "key", "left_semi")
+    found = docs.select("text").mapInArrow(run, "key binary, shingles binary").join(wanted, "key", "left_semi")
     return written(found.groupBy("key").agg(F.first("shingles").alias("shingles")))
 
 
-def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), small_graph: int | None = None) -> DataFrame:
     """The near-duplicate component of every document.
 
     ``docs``: doc_id and text; other columns are not read, but those in ``carry`` come along. Words are lower-cased in
@@ -338,14 +347,14 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     classes = written(rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     buckets = classes.select(F.explode("bands").alias("bucket"), "key", "sketch")
     n = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    schema = "bucket bigint, a bigint, b bigint"
+    schema = "bucket bigint, a binary, b binary"
     candidates = written(buckets.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_forests, schema))
     wanted = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
     sets = _sets(docs, wanted)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("two")), "b")
-        return written(both.select("a", "b", "one", "two").mapInArrow(_confirmed, "a bigint, b bigint, linked boolean"))
+        return written(both.select("a", "b", "one", "two").mapInArrow(_confirmed, "a binary, b binary, linked boolean"))
 
     def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
         """The pairs whose ends are in different components."""
@@ -355,10 +364,10 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     number = F.pmod(F.col("bucket"), F.lit(BANDS))
     tested = confirm(candidates.where(number < FIRST_BANDS).select("a", "b").distinct())
-    label = components(tested.where("linked"))
+    label = components(tested.where("linked"), small_graph)
     more = confirm(apart(candidates.where(number >= FIRST_BANDS).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), label))
     tested = written(tested.unionByName(more))
-    label = components(tested.where("linked"))
+    label = components(tested.where("linked"), small_graph)
     # Where an edge failed and its ends are still apart, full sets decide between all components of the bucket.
     failed = tested.where(~F.col("linked")).select("a", "b")
     again = written(apart(candidates.join(failed, ["a", "b"], "left_semi"), label).select("bucket").distinct())
@@ -366,7 +375,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     members = members.join(label.select(F.col("node").alias("key"), "component"), "key", "left").join(sets, "key").select("bucket", "key", F.coalesce("component", "key").alias("component"), "shingles")
     more = written(members.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_links, schema).select("a", "b").distinct())
     if not more.isEmpty():
-        label = components(tested.where("linked").select("a", "b").unionByName(more))
+        label = components(tested.where("linked").select("a", "b").unionByName(more), small_graph)
 
     named = rows.select("doc_id", *carry, "n_shingles", "key").join(label.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("component", F.coalesce("component", "key"))

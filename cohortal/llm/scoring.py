@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortal.llm.shared import table, whole_texts, written
+from cohortal.llm.shared import blocks, table, whole_texts, written
 
 #: Words that are sent to workers at most; the counts of others are joined.
 FREQUENT_WORDS = 1 << 20
@@ -181,20 +181,10 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pa.array(real)), starts
 
 
-def _blocks(batch: pa.RecordBatch, at: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``size`` bytes of text in column ``at``, a text at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy())
-    begin = 0
-    while begin < len(ends):
-        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (word), of contexts with a next byte (gram) and of documents (gram END) of the training rows."""
     names = ["word", "gram", "n"]
-    for batch in (block for whole in batches for block in _blocks(whole, 0, COUNT_BYTES)):
+    for batch in (block for whole in batches for block in blocks(whole, 0, COUNT_BYTES)):
         texts = whole_texts(batch.column(0))
         counted = _words(texts)[0].value_counts()
         yield pa.RecordBatch.from_arrays([counted.field(0).cast(pa.string()), pa.nulls(len(counted), pa.int64()), counted.field(1)], names)
@@ -300,7 +290,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = sent.value[:2]
         held = _held(name, trie_fits, *sent.value[2:])
-        for batch in (block for whole in batches for block in _blocks(whole, 1, SCORE_BYTES)):
+        for batch in (block for whole in batches for block in blocks(whole, 1, SCORE_BYTES)):
             texts = whole_texts(batch.column(1))
             gram, begin = _grams(texts)
             lengths, unheld = (held.digits_of(gram), np.zeros(0, int)) if trie_fits else held.find(gram)

@@ -6,7 +6,9 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,10 +37,13 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, a temporary folder is set.
+    Only where the session names none, as in tests on one machine, a temporary folder
+    is set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="cohortal-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cohortal-{uuid.uuid4().hex}"
@@ -58,6 +63,16 @@ def whole_texts(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.take(pa.array(range(len(texts)), pa.int64())).cast(pa.large_string()), "")
 
 
+def blocks(batch: pa.RecordBatch, at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text in column ``at``, a text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy())
+    begin = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def unit_hash(*cols: Column | str) -> Column:
     """A number in (0, 1) drawn by hash from columns; the same on each run."""
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)

@@ -108,3 +108,14 @@ def test_components(spark, monkeypatch):
     monkeypatch.setattr(N, "SMALL_GRAPH", -1)  # as for a large graph
     assert {r.node: r.component for r in N.components(links).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 7: 5, 8: 5, 9: 5}
     assert N.components(links.where("false")).count() == 0
+
+
+def test_long_texts_and_graphs_in_rounds(spark, monkeypatch):
+    """A text longer than a block, blocks of one text each, and components by rounds: the same rows."""
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(5000)}" for _ in range(40000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:39000])), (3, " ".join(long[:25000])), (4, None), (5, "a b"), (6, "A  B")]
+    rows += [(10 + i, " ".join(long[i * 100 : i * 100 + 100 + i % 2])) for i in range(40)] + [(100 + i, " ".join(long[i * 100 : i * 100 + 100])) for i in range(40)]
+    monkeypatch.setattr(N, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(N, "SMALL_GRAPH", -1)
+    check(spark, rows)

@@ -42,3 +42,34 @@ def test_registered():
     names = registry.queries()
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
     assert [n for n, _ in P.STAGES] == ["quality_rules", "near_duplicates", "secret_scans", "source_mixing", "best_fit_packing"]
+
+
+def test_stages_on_awkward_tables(spark, docs, no_docs, folder):
+    """Columns named like those that stages make, repeated rows, nulls and empty tables."""
+    from pyspark.sql import functions as F
+
+    names = ("text_hash", "first_id", "copies", "n_rows", "times", "copy", "t_id", "t_hash", "t_source", "known_hash", "component", "_text", "_in_text", "taken", "kept", "row")
+    long = " ".join(f"story{i} goes on," for i in range(3000))
+    more = spark.createDataFrame([(900, long, "en", "s1", len(long)), (901, None, None, None, None)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    base = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more)
+    table = base.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names})
+    for name, stage in P.STAGES:
+        none = stage(spark, table.where("false"), folder)
+        assert none.count() == 0
+        out = stage(spark, table, folder)
+        if name != "best_fit_packing":
+            assert out.columns == table.columns == none.columns
+            for r in out.collect():
+                assert all(r[c] == f"{c}{'none' if r.doc_id is None else r.doc_id}" for c in names)
+        known = {(r.doc_id, r.text) for r in table.collect()}
+        got = out.collect()
+        if name == "quality_rules":
+            assert sum(r.doc_id == 900 for r in got) == 2 and all(r.text for r in got) and {(r.doc_id, r.text) for r in got} <= known
+        if name == "near_duplicates":
+            assert sum(r.doc_id == 900 for r in got) == 1 and sum(r.doc_id == 901 for r in got) == 1 and {(r.doc_id, r.text) for r in got} <= known
+        if name == "secret_scans":
+            assert len(got) == table.count() and sum(r.text is None for r in got) == sum(t is None for _, t in known) + 1
+        if name == "source_mixing":
+            assert all(r.text and r.text.split() for r in got) and {(r.doc_id, r.text) for r in got} <= known
+        if name == "best_fit_packing":
+            assert sum(r.piece == 0 for r in got) == table.count()
