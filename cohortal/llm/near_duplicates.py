@@ -379,7 +379,8 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), small_graph: i
 
     named = rows.select("doc_id", *carry, "n_shingles", "key").join(label.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("component", F.coalesce("component", "key"))
-    least = named.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join deals out both sides itself and a large component's rows can be split.
+    least = written(named.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id")))
     out = named.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", *carry, "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
