@@ -54,7 +54,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
     ``boundary``: of the one document in which a source's budget ends, ``cut`` takes
     just the words that are missing; ``nearest`` takes all or nothing, whichever
     comes nearer to the target.
-    ``carry``: columns that come along unchanged, with names that nothing here has.
+    ``carry``: columns that come along unchanged, with names that no returned column has.
     Returns doc_id, source, size, source_size, target, epochs (whole copies), those
     columns and taken (words, repeats counted). Null ids and sources are values like others;
     repeated rows are rows of their own; ties of keys are ordered by id, size and
@@ -65,15 +65,16 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("text").alias("text_hash"),
-        *carry,
+        *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)],
     )
+    carried = [f"carried_{k}" for k in range(len(carry))]
     weight = F.lit(1.0)
     if quality is not None:
         slim = slim.join(quality.select("doc_id", "quality_weight"), "doc_id", "left")
         weight = F.when(F.col("quality_weight") > 0, F.col("quality_weight")).otherwise(1.0)
     key = -F.log(unit_hash(F.lit(seed), F.col("doc_id"), F.col("text_hash"))) / weight
     slim = slim.withColumn("key", key).withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * KEY_SLICES).cast("int"))
-    slim = written(slim.select("doc_id", "source", "size", "text_hash", "key", "slice", *carry))
+    slim = written(slim.select("doc_id", "source", "size", "text_hash", "key", "slice", *carried))
     slices = slim.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     targets = source_targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -92,7 +93,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
     if boundary == "nearest":
         taken = F.when((F.col("missing") > 0) & (F.col("missing") * 2 >= F.col("size")), F.col("size")).otherwise(0)
     last = rows.where((F.col("left") > 0) & (F.col("words") > F.col("left"))).withColumn("missing", missing).withColumn("part", taken)
-    out = [*(F.col(c) for c in ("doc_id", "source", "size", "source_size", "target")), F.col("epochs").cast("int").alias("epochs"), *carry]
+    out = [*(F.col(c) for c in ("doc_id", "source", "size", "source_size", "target")), F.col("epochs").cast("int").alias("epochs"), *[F.col(k).alias(c) for k, c in zip(carried, carry)]]
     took = (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
     return whole.select(*out, took).unionByName(last.select(*out, took))
 

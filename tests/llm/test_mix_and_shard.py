@@ -99,3 +99,13 @@ def test_shards_against_a_plain_sort(spark):
         assert [r.hilbert for r in order] == sorted(r.hilbert for r in got)
         for k in range(8):
             assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_carried_columns_may_have_any_name(docs):
+    from pyspark.sql import functions as F
+
+    names = ("text_hash", "key", "slice", "part", "left", "words", "carried_0")
+    named = docs.drop(*names).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in names})
+    rows, plain = M.mix(named, carry=names).collect(), M.mix(docs).collect()
+    assert all(r[c] == f"{c}{'' if r.doc_id is None else r.doc_id}" for r in rows for c in names)
+    assert sorted((r.doc_id or -1, r.taken) for r in rows) == sorted((r.doc_id or -1, r.taken) for r in plain)
