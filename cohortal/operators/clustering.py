@@ -92,7 +92,10 @@ def label_shares(pairs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
 
 
 def seeded_kmeans(points: DataFrame, centroids: list[list[float]], tolerance: float = 1e-10, rounds: int = 100) -> DataFrame:
-    """item, cluster by Lloyd rounds from given centroids; an empty cluster keeps its centroid. ``points``: item, vec."""
+    """item, cluster by Lloyd rounds from given centroids; an empty cluster keeps its centroid. ``points``: item, vec.
+
+    Raises if the error still changes after ``rounds``.
+    """
     best = None
     for _ in range(rounds):
         at = F.array(*[F.struct(F.aggregate(F.zip_with("vec", F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("e"), F.lit(k).alias("k")) for k, c in enumerate(centroids)])
@@ -102,9 +105,9 @@ def seeded_kmeans(points: DataFrame, centroids: list[list[float]], tolerance: fl
         for r in sums:
             centroids[r["cluster"]] = [r[f"x{d}"] for d in range(len(centroids[0]))]
         if best is not None and abs(best - error) < tolerance:
-            break
+            return assigned.select("item", "cluster")
         best = error
-    return assigned.select("item", "cluster")
+    raise ValueError(f"the error still changes after {rounds} rounds")
 
 
 def cut(tree: DataFrame, items: DataFrame, height: float) -> DataFrame:
@@ -147,10 +150,10 @@ def complete_linkage(pairs: DataFrame) -> DataFrame:
     return pairs.select("i", "j", "d", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, f"step int, members array<{kind}>, height double")
 
 
-def shared_neighbour_hierarchy(pairs: DataFrame, items: DataFrame, most: int = 50) -> list[tuple[int, int]]:
-    """(neighbours, clusters) for growing numbers of neighbours until one cluster is left."""
+def shared_neighbour_hierarchy(pairs: DataFrame, items: DataFrame, most: int | None = None) -> list[tuple[int, int]]:
+    """(neighbours, clusters) for growing numbers of neighbours until one cluster is left, or up to ``most`` neighbours if that is given."""
     out = []
-    for k in range(1, most + 1):
+    for k in range(1, (items.count() if most is None else most + 1)):
         n = components(nearest_neighbours(pairs, k).select("i", "j"), items).select("component").distinct().count()
         out.append((k, n))
         if n == 1:

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Columns of a wide design at most.
+MOST_COLUMNS = 1000
+
+
 @dataclass(frozen=True)
 class Formula:
     """The right-hand side of ``y ~ C(a):C(b) + C(a) + x``: categories, interactions (pairs) and linear terms."""
@@ -37,8 +41,10 @@ def one_hot(df: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def one_hot_wide(df: DataFrame, key: str, label: str) -> DataFrame:
-    """One 0/1 column for each label, in order of labels."""
-    labels = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).limit(1000).collect()]
+    """One 0/1 column for each label, in order of labels; more labels than MOST_COLUMNS raise, as a wide table cannot hold them."""
+    labels = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).limit(MOST_COLUMNS + 1).collect()]
+    if len(labels) > MOST_COLUMNS:
+        raise ValueError(f"{label} has more than {MOST_COLUMNS} labels; use the long form, one_hot")
     return df.groupBy(key).agg(*[F.max((F.col(label) == x).cast("int")).alias(str(x)) for x in labels])
 
 

@@ -233,3 +233,14 @@ def test_inventory(spark, tmp_path):
     assert {r.gid: r.members for r in g.collect()} == {"p1": ["ENSG1", "ENSG2"], "p2": ["ENSG1"]}
     names = spark.createDataFrame([("ENSG1", "A")], "member string, name string")
     assert {r.gid: r.members for r in files.remapped(g, names).collect()} == {"p1": ["A", "ENSG2"], "p2": ["A"]}
+
+
+def test_nothing_stops_silently(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"l{i}") for i in range(4)], "k long, label string")
+    assert len(E.one_hot_wide(df, "k", "label").columns) == 5
+    monkeypatch.setattr(E, "MOST_COLUMNS", 3)
+    with pytest.raises(ValueError, match="more than 3 labels"):
+        E.one_hot_wide(df, "k", "label")
+    points = spark.createDataFrame([(i, [float(i)]) for i in range(9)], "item long, vec array<double>")
+    with pytest.raises(ValueError, match="still changes"):
+        K.seeded_kmeans(points, [[0.0], [1.0]], rounds=1)
