@@ -191,6 +191,18 @@ def is_prime(n: Column) -> Column:
     return F.when(n < 2, False).when(n < 4, True).otherwise(F.forall(F.sequence(F.lit(2).cast("long"), root), lambda k: n % k != 0))
 
 
+def fibonacci(n: Column) -> Column:
+    """The n-th Fibonacci number, 1 and 1 being the first; null below 1 and beyond 92, the last that a long holds."""
+    zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b"))
+    step = lambda s, _: F.struct(s["b"].alias("a"), F.try_add(s["a"], s["b"]).alias("b"))
+    return F.when((n >= 1) & (n <= 92), F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(92))).cast("int")), zero, step, lambda s: s["a"]))
+
+
+def overlap_excess(a: Column, b: Column, n: int) -> Column:
+    """The harmonic overlap less n / (n + 1)."""
+    return harmonic_overlap(a, b) - n / (n + 1)
+
+
 def condensed_index(n: Column, i: Column, j: Column) -> Column:
     """Place of the pair i < j in the upper triangle of n items, row by row."""
     return i * n - (i * (i + 1) / 2).cast("long") + j - i - 1

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortal.operators import graph
 from cohortal.operators.graph import components, settled
+from cohortal.operators.order import placed_rows
 from cohortal.operators.pairs import both_ways
 
 
@@ -36,6 +38,23 @@ def dbscan(pairs: DataFrame, items: DataFrame, eps: float, least: int) -> DataFr
     return items.join(found, "item", "left").select("item", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+def dbscan_with_border(pairs: DataFrame, items: DataFrame, eps: float, least: int) -> DataFrame:
+    """item, cluster: cores have at least ``least`` items within ``eps``, themselves included; clusters are components of cores, numbered by their least core.
+
+    Other items with a core within ``eps`` join the first such cluster; the rest are noise (-1).
+    """
+    near = settled(both_ways(pairs.where(F.col("d") <= eps).select("i", "j")))
+    counts = near.groupBy(F.col("i").alias("item")).agg(F.count("*").alias("n"))
+    core = settled(items.select("item").join(counts, "item", "left").where(F.coalesce("n", F.lit(0)) + 1 >= least).select("item"))
+    links = near.join(core.withColumnRenamed("item", "i"), "i", "left_semi").join(core.withColumnRenamed("item", "j"), "j", "left_semi")
+    found = settled(components(links, core))
+    ids = placed_rows(found.select("component").distinct(), "component").select("component", (F.col("_r") - 1).alias("cluster"))
+    cores = settled(found.join(ids, "component").select("item", "cluster"))
+    border = near.join(cores.withColumnRenamed("item", "j"), "j").groupBy(F.col("i").alias("item")).agg(F.min("cluster").alias("border"))
+    out = items.select("item").join(cores, "item", "left").join(border, "item", "left")
+    return out.select("item", F.coalesce("cluster", "border", F.lit(-1)).cast("long").alias("cluster"))
+
+
 def clustering_bounds(pairs: DataFrame) -> DataFrame:
     """nearest, full: the least distance, and the least of items' largest distances (all are connected there)."""
     far = both_ways(pairs.select("i", "j", "d")).groupBy("i").agg(F.max("d").alias("d"))
@@ -121,25 +140,42 @@ def level_edges(lower: DataFrame, upper: DataFrame) -> DataFrame:
     return both.groupBy("parent", "child").agg(F.count("*").alias("items"))
 
 
-def complete_linkage(pairs: DataFrame) -> DataFrame:
-    """step, members (sorted), height of each merge; the nearest clusters by their farthest pair merge first, ties to the first by order.
+LINKAGES = ("min", "max", "mean", "ward")
+
+
+def stepwise_linkage(pairs: DataFrame, method: str) -> DataFrame:
+    """step, members (sorted), height of each merge; the nearest clusters merge first, ties to the first by order.
 
-    Sequential by nature: one task holds the square of all distances.
+    ``method`` (one of LINKAGES) says how far a cluster is: its nearest member, its
+    farthest, the mean of all, or by the variance that a merge adds. Sequential by
+    nature: one task holds the square of all distances.
     """
+    if method not in LINKAGES:
+        raise ValueError(f"{method} is none of {LINKAGES}")
+
+    def joined(da: np.ndarray, db: np.ndarray, apart: float, na: int, nb: int, n: np.ndarray) -> np.ndarray:
+        if method in ("min", "max"):
+            return (np.minimum if method == "min" else np.maximum)(da, db)
+        if method == "mean":
+            return (na * da + nb * db) / (na + nb)
+        both = np.isfinite(da) & np.isfinite(db) & np.isfinite(apart)
+        x, y, z = (np.where(both, v, 0.0) ** 2 for v in (da, db, apart))
+        return np.where(both, np.sqrt(np.maximum(0.0, (na + n) * x + (nb + n) * y - n * z) / (na + nb + n)), np.inf)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
         d = np.full((len(names), len(names)), np.inf)
         i, j = np.searchsorted(names, pdf["i"]), np.searchsorted(names, pdf["j"])
         d[i, j] = d[j, i] = pdf["d"]
-        least = d.min(1)
+        least, size = d.min(1), np.ones(len(names), int)
         groups, rows = {k: [x] for k, x in enumerate(names.tolist())}, []
         for step in range(len(names) - 1):
             a = int(least.argmin())
             b = int(d[a].argmin())
             rows.append((step, sorted(groups[a] + groups[b]), d[a, b]))
             groups[a] += groups.pop(b)
-            far, stale = np.maximum(d[a], d[b]), np.flatnonzero(np.minimum(d[a], d[b]) <= least)
+            far, stale = joined(d[a], d[b], d[a, b], size[a], size[b], size), np.flatnonzero(np.minimum(d[a], d[b]) <= least)
+            size[a] += size[b]
             d[a], d[:, a] = far, far
             d[b], d[:, b], d[a, a] = np.inf, np.inf, np.inf
             stale = np.union1d(stale, [a, b])
@@ -150,6 +186,41 @@ def complete_linkage(pairs: DataFrame) -> DataFrame:
     return pairs.select("i", "j", "d", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, f"step int, members array<{kind}>, height double")
 
 
+def complete_linkage(pairs: DataFrame) -> DataFrame:
+    """``stepwise_linkage`` by the farthest members."""
+    return stepwise_linkage(pairs, "max")
+
+
+def connectedness(pairs: DataFrame, items: DataFrame, cutoff: float, shared: int = 1) -> DataFrame:
+    """cluster, item: each item in order brings itself and its neighbours within ``cutoff`` to the first cluster that holds ``shared`` of them, else opens one.
+
+    The order decides, and an item may be in several clusters. One task holds all clusters and reads the neighbours item by item.
+    """
+    near = both_ways(pairs.where(F.col("d") <= cutoff).select("i", "j")).unionByName(items.select(F.col("item").alias("i"), F.col("item").alias("j")))
+    lists = near.distinct().groupBy("i").agg(F.sort_array(F.collect_list("j")).alias("js"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        opened = 0
+        for pdf in batches:
+            rows = []
+            for js in pdf["js"]:
+                common = Counter(c for j in js.tolist() for c in held.get(j, ()))
+                at = min((c for c, n in common.items() if n >= shared), default=None)
+                if at is None and len(js) < shared:
+                    continue
+                if at is None:
+                    at, opened = opened, opened + 1
+                for j in js.tolist():
+                    if at not in held.setdefault(j, set()):
+                        held[j].add(at)
+                        rows.append((at, j))
+            yield pd.DataFrame(rows, columns=["cluster", "item"])
+
+    kind = items.schema["item"].dataType.simpleString()
+    return lists.coalesce(1).sortWithinPartitions("i").mapInPandas(run, f"cluster long, item {kind}")
+
+
 def shared_neighbour_hierarchy(pairs: DataFrame, items: DataFrame, most: int | None = None) -> list[tuple[int, int]]:
     """(neighbours, clusters) for growing numbers of neighbours until one cluster is left, or up to ``most`` neighbours if that is given."""
     out = []

@@ -68,6 +68,13 @@ def fold_change(df: DataFrame, feature: str, label: str, a: str, b: str, value:
     return g.withColumn("t", F.col("mean_difference") / F.sqrt(pooled * (1 / F.col("_n") + 1 / F.col("_m")))).drop("_n", "_m", "_v", "_w")
 
 
+def differences(df: DataFrame, feature: str, label: str, a: str, b: str, value: str = "value") -> DataFrame:
+    """feature, a, b, left, right, dist: both labels' means, their differences either way and its square; null where one is missing."""
+    x, y = _two(label, a, b, value)
+    g = df.groupBy(feature).agg(F.avg(x).alias("a"), F.avg(y).alias("b")).withColumn("left", F.col("a") - F.col("b"))
+    return g.withColumn("right", -F.col("left")).withColumn("dist", F.col("left") * F.col("left"))
+
+
 def one_way_anova(df: DataFrame, feature: str, label: str, value: str = "value") -> DataFrame:
     """feature, f, d1, d2, p over all labels, from sums and sums of squares of groups."""
     groups = df.groupBy(feature, label).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))

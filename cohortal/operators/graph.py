@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,6 +64,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.sum("up").alias("ascendants"), F.sum("down").alias("descendants"), F.count("*").alias("links"))
 
 
+def adjacency(edges: DataFrame, kinds: tuple[str, ...] = ("ascendants", "descendants")) -> DataFrame:
+    """i, j, links: the adjacency matrix in long form, from each node to its ascendants, its descendants or both."""
+    one = {"descendants": edges.select(F.col("parent").alias("i"), F.col("child").alias("j")), "ascendants": edges.select(F.col("child").alias("i"), F.col("parent").alias("j"))}
+    out = reduce(DataFrame.unionByName, [one[k].distinct() for k in kinds])
+    return out.where("i IS NOT NULL AND j IS NOT NULL").groupBy("i", "j").agg(F.count("*").alias("links"))
+
+
 def lineage_table(edges: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
     """id, level, ancestors, descendants, parents as sorted arrays: one row a node."""
     c = closure(edges)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortal.functions.numeric import average_rank
+from cohortal.operators.order import placed_rows
 
 #: Points of a block on average; pairs are made from two blocks at a time.
 BLOCK = 256
@@ -128,6 +129,20 @@ def jaccard(membership: DataFrame, key: str, member: str) -> DataFrame:
     return out.select("i", "j", "shared", (F.col("shared") / (F.col("_ni") + F.col("_nj") - F.col("shared"))).alias("jaccard"))
 
 
+def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, shared, jaccard of the groups of two groupings (gid, member) that share a member."""
+    x, y = left.distinct().select(F.col("gid").alias("a"), "member"), right.distinct().select(F.col("gid").alias("b"), "member")
+    shared = x.join(y, "member").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sizes = shared.join(x.groupBy("a").agg(F.count("*").alias("na")), "a").join(y.groupBy("b").agg(F.count("*").alias("nb")), "b")
+    return sizes.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+
+
+def row_order(df: DataFrame, row: str, value: str) -> DataFrame:
+    """row, mean, place (from 0): the rows of a matrix in long form in order of their means, ties by row."""
+    means = df.groupBy(row).agg(F.avg(value).alias("mean"))
+    return placed_rows(means, "mean", row).select(row, "mean", (F.col("_r") - 1).alias("place"))
+
+
 def radial_histogram(pairs: DataFrame, bins: int, rmax: float, dimensions: int = 3, constant: float = 4 / 3) -> DataFrame:
     """bin, pairs, density: pairs in shells of equal width over the shells' volume."""
     import math

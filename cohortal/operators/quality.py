@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortal.functions.numeric import normal_upper_tail
+from cohortal.operators.order import in_order, running
 
 def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """tp, fp, fn, tn over ordered pairs of rows, from the contingency table alone; tn also counts each row with itself."""
@@ -68,6 +70,34 @@ def histogram_auc(bins: DataFrame) -> DataFrame:
     return g.select(auc.alias("auc"), se.alias("se"))
 
 
+def curve_auc(bins: DataFrame) -> DataFrame:
+    """auc by trapezoids under the shares reached bin by bin, from the first bin on. ``bins``: bin, n_in, n_out, a few rows."""
+    w, to = Window.partitionBy(), Window.orderBy("bin")
+    x = bins.select("bin", (F.sum("n_in").over(to) / F.sum("n_in").over(w)).alias("tpr"), (F.sum("n_out").over(to) / F.sum("n_out").over(w)).alias("fpr"))
+    step = (F.col("fpr") - F.lag("fpr").over(to)) * (F.col("tpr") + F.lag("tpr").over(to)) / 2
+    return x.select(step.alias("area")).agg(F.sum("area").alias("auc"))
+
+
+def label_distance_test(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """metric, u, p: Mann-Whitney's test of distances within labels (each pair once) against those between labels (both ways).
+
+    The metric is 1 less the root of u over both numbers of distances. Ranks come from the counts of distinct distances.
+    """
+    side = lambda k: labels.select(F.col("item").alias(k), F.col("label").alias("l" + k))
+    same = F.col("li") == F.col("lj")
+    counts = pairs.join(side("i"), "i").join(side("j"), "j").groupBy("d").agg(F.count(F.when(same, 1)).alias("n_in"), (2 * F.count(F.when(~same, 1))).alias("n_out"))
+    upto = running(in_order(counts, "d"), ["d"], sums={"below": F.col("n_out")})
+    real = lambda c: F.col(c).cast("double")
+    t = real("n_in") + real("n_out")
+    g = upto.agg(F.sum(real("n_in") * (real("below") - real("n_out") / 2)).alias("u"), F.sum(real("n_in")).alias("k"), F.sum(real("n_out")).alias("m"), F.sum(t * t * t - t).alias("ties"))
+    n = F.col("k") + F.col("m")
+    # u counts how often a distance between labels lies below one within.
+    sd = F.sqrt(F.col("k") * F.col("m") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    z = F.greatest(F.lit(0.0), F.abs(F.col("u") - F.col("k") * F.col("m") / 2) - 0.5) / F.nullif(sd, F.lit(0.0))
+    p = F.least(F.lit(1.0), 2 * normal_upper_tail(z))
+    return g.select((1 - F.sqrt("u") / F.col("k") / F.col("m")).alias("metric"), "u", p.alias("p"))
+
+
 def distance_histogram(pairs: DataFrame, labels: DataFrame, bins: int) -> DataFrame:
     """bin, n_in, n_out: pairs within and between clusters by rank of their distance, in equally filled bins."""
     named = pairs.join(labels.select(F.col("item").alias("i"), F.col("label").alias("a")), "i").join(labels.select(F.col("item").alias("j"), F.col("label").alias("b")), "j")
