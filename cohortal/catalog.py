@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortal.plans import models, statistics, structure
+from cohortal.plans import arrangements, models, statistics, structure
 
 FLAGSHIP = "welch_by_brand"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return statistics.QUERIES | structure.QUERIES | models.QUERIES
+    return statistics.QUERIES | structure.QUERIES | models.QUERIES | arrangements.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return statistics.SQL | structure.SQL | models.SQL
+    return statistics.SQL | structure.SQL | models.SQL | arrangements.SQL

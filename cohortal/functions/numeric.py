@@ -203,6 +203,75 @@ def overlap_excess(a: Column, b: Column, n: int) -> Column:
     return harmonic_overlap(a, b) - n / (n + 1)
 
 
+def flatness(x: Column) -> Column:
+    """Aggregate: geometric over arithmetic mean of positive values; 1 less it is their contrast."""
+    return F.exp(F.avg(F.ln(x))) / F.avg(x)
+
+
+def radial_polynomial(r: Column, n: int, m: int, whole: bool = True) -> Column:
+    """Zernike's radial polynomial of degree n and order m (n - m even) for r from 0 to 1, else 0. Without ``whole`` the term of lowest power is left out."""
+    if m > n or (n - m) % 2:
+        return F.lit(0.0)
+    f, last = math.factorial, (n - m) // 2
+    terms = [(-1) ** k * f(n - k) / (f(k) * f((n + m) // 2 - k) * f(last - k)) * F.pow(r, n - 2 * k) for k in range(last + whole)]
+    return F.when((r >= 0) & (r <= 1), sum(terms, F.lit(0.0))).otherwise(0.0)
+
+
+def _turned(s: Column, side: Column, rx: Column, ry: Column) -> tuple[Column, Column]:
+    """A quadrant's x and y as the curve enters it: flipped and swapped, swapped, or as they are."""
+    flip = lambda v: F.when(rx == 1, side - 1 - v).otherwise(v)
+    return F.when(ry == 0, flip(s["y"])).otherwise(s["x"]), F.when(ry == 0, flip(s["x"])).otherwise(s["y"])
+
+
+def _sides(n: int) -> list[int]:
+    if n < 1 or n & (n - 1):
+        raise ValueError("the grid's side must be a power of two")
+    return [1 << k for k in range(n.bit_length() - 1)]
+
+
+def hilbert_place(n: int, x: Column, y: Column) -> Column:
+    """Place from 0 of the cell (x, y) along Hilbert's curve over n times n cells."""
+    long = lambda c: c.cast("long")
+    start = F.struct(long(x).alias("x"), long(y).alias("y"), F.lit(0).cast("long").alias("d"))
+
+    def step(s: Column, side: Column) -> Column:
+        rx, ry = (F.when(s[c].bitwiseAND(side) > 0, 1).otherwise(0) for c in "xy")
+        nx, ny = _turned(s, F.lit(n).cast("long"), rx, ry)
+        return F.struct(nx.alias("x"), ny.alias("y"), (s["d"] + side * side * (3 * rx).bitwiseXOR(ry)).alias("d"))
+
+    if n == 1:
+        return F.lit(0).cast("long")
+    return F.aggregate(F.array(*[F.lit(s).cast("long") for s in reversed(_sides(n))]), start, step, lambda s: s["d"])
+
+
+def hilbert_point(n: int, place: Column) -> Column:
+    """The cell, a struct of x and y, at a place along Hilbert's curve over n times n cells."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("x"), zero.alias("y"), place.cast("long").alias("t"))
+
+    def step(s: Column, side: Column) -> Column:
+        rx = F.shiftright(s["t"], 1).bitwiseAND(1)
+        ry = s["t"].bitwiseXOR(rx).bitwiseAND(1)
+        nx, ny = _turned(s, side, rx, ry)
+        return F.struct((nx + side * rx).alias("x"), (ny + side * ry).alias("y"), F.shiftright(s["t"], 2).alias("t"))
+
+    sides = F.array(*[F.lit(s).cast("long") for s in _sides(n)]) if n > 1 else F.array().cast("array<long>")
+    return F.aggregate(sides, start, step, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
+
+
+#: Neighbours of a cell as steps in x and y: around it from above clockwise, and the four beside it.
+AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
+BESIDE = ((-1, 0), (1, 0), (0, -1), (0, 1))
+
+
+def hilbert_neighbours(n: int, place: Column, steps: tuple[tuple[int, int], ...] = AROUND, periodic: bool = True) -> Column:
+    """Places of a cell and of its neighbours, going round the borders or, if not ``periodic``, stopping at them."""
+    at = hilbert_point(n, place)
+    held = (lambda v: F.pmod(v, F.lit(n))) if periodic else (lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(n - 1)))
+    moved = F.transform(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps]), lambda s: hilbert_place(n, held(at["x"] + s["a"]), held(at["y"] + s["b"])))
+    return F.concat(F.array(place.cast("long")), moved)
+
+
 def condensed_index(n: Column, i: Column, j: Column) -> Column:
     """Place of the pair i < j in the upper triangle of n items, row by row."""
     return i * n - (i * (i + 1) / 2).cast("long") + j - i - 1

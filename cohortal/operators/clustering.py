@@ -243,6 +243,18 @@ def density_seeds(points: DataFrame, bins: int, above: float = 0.5) -> list[list
     return [[r["x"], r["y"]] for r in dense.collect()]
 
 
+def weighted_centroids(values: DataFrame, points: DataFrame, most: int) -> DataFrame:
+    """row, vec: for each row the mean of its ``most`` largest columns' points, weighted by their values (sums of 0 count as 1).
+
+    ``values``: row, item, value; ``points``: item, vec. Of equal values the larger item counts first.
+    """
+    top = values.join(points.select("item"), "item", "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("value"), F.desc("item")))).where(F.col("_k") <= most)
+    parts = top.join(points, "item").select("row", "value", F.posexplode("vec").alias("_d", "_x"))
+    sums = parts.groupBy("row", "_d").agg(F.sum(F.col("value") * F.col("_x")).alias("_s"), F.sum("value").alias("_w"))
+    at = F.struct("_d", (F.col("_s") / F.when(F.col("_w") == 0, 1.0).otherwise(F.col("_w"))).alias("x"))
+    return sums.groupBy("row").agg(F.sort_array(F.collect_list(at)).alias("_v")).select("row", F.col("_v.x").alias("vec"))  # a dimension each
+
+
 def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """item, owner: the centroid (label, centre) nearest to each point; ties to the first label. Centroids are a row a label."""
     d = F.aggregate(F.zip_with("vec", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)

@@ -71,6 +71,39 @@ def adjacency(edges: DataFrame, kinds: tuple[str, ...] = ("ascendants", "descend
     return out.where("i IS NOT NULL AND j IS NOT NULL").groupBy("i", "j").agg(F.count("*").alias("links"))
 
 
+def edges_of(matrix: DataFrame, value: str = "links") -> DataFrame:
+    """parent, child: the edges of an adjacency matrix in long form (i, j), without loops."""
+    return matrix.where((F.col(value) == 1) & (F.col("i") != F.col("j"))).select(F.col("i").alias("parent"), F.col("j").alias("child")).distinct()
+
+
+def located(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """id, place (from 1): the nodes of ``found`` (id) in the order of a walk from the root down, children by name. ``edges`` are a tree."""
+    from cohortal.operators.order import placed_rows
+
+    above = closure(edges).groupBy(F.col("descendant").alias("id")).agg(F.sort_array(F.collect_list(F.struct("depth", "ancestor")), asc=False).alias("_up"))
+    paths = nodes(edges).join(found.select("id").distinct(), "id", "left_semi").join(above, "id", "left")
+    path = F.concat(F.coalesce(F.col("_up.ancestor"), F.array().cast("array<string>")), F.array("id"))
+    return placed_rows(paths.select("id", path.alias("_path")), "_path").select("id", F.col("_r").cast("long").alias("place"))
+
+
+def comembership_distance(membership: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distances of members by the groups they share: (i, j, d) of i < j that share a group not of all members, and one row, ``d``, of all other pairs.
+
+    With c one more than the number of shared groups, d is the size of 1 / c less the mean
+    of 1 / c of members with themselves. Groups of all members are counted, not paired; a smaller group gives all its pairs.
+    """
+    m = membership.where("gid IS NOT NULL AND member IS NOT NULL").distinct()
+    n = m.agg(F.count_distinct("member").alias("_n"))
+    size = m.groupBy("gid").agg(F.count("*").alias("_size")).crossJoin(F.broadcast(n))  # one row
+    whole = size.agg(F.count(F.when(F.col("_size") == F.col("_n"), 1)).alias("_whole"))
+    own = m.groupBy("member").agg((1 / (1.0 + F.count("*"))).alias("_c")).agg(F.avg("_c").alias("_mean"))
+    base = F.broadcast(whole.crossJoin(own))  # one row
+    part = m.join(size.where("_size < _n").select("gid"), "gid", "left_semi")
+    shared = part.withColumnRenamed("member", "i").join(part.withColumnRenamed("member", "j"), "gid").where("i < j").groupBy("i", "j").agg(F.count("*").alias("_s"))
+    d = lambda s: F.abs(1 / (1.0 + F.col("_whole") + s) - F.col("_mean")).alias("d")
+    return shared.crossJoin(base).select("i", "j", d(F.col("_s"))), whole.crossJoin(own).select(d(F.lit(0)))
+
+
 def lineage_table(edges: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
     """id, level, ancestors, descendants, parents as sorted arrays: one row a node."""
     c = closure(edges)

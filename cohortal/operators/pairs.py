@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,21 @@ def cosines(df: DataFrame, feature: str, sample: str, value: str) -> DataFrame:
     return g.select("i", "j", (F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("cosine"))
 
 
+def cross_power(df: DataFrame, feature: str, sample: str, value: str) -> DataFrame:
+    """i, j, power: products of two features' spectra summed over frequencies, which are their inner product times the number of samples."""
+    n = df.agg(F.count_distinct(sample).alias("_n"))
+    side = lambda k: df.select(sample, F.col(feature).alias(k), F.col(value).alias("_" + k))
+    sums = side("i").join(side("j"), sample).groupBy("i", "j").agg(F.sum(F.col("_i") * F.col("_j")).alias("_s"))
+    return sums.crossJoin(F.broadcast(n)).select("i", "j", (F.col("_s") * F.col("_n")).alias("power"))  # one row
+
+
+def resonances(power: DataFrame, value: str = "power") -> DataFrame:
+    """Adds ``resonance``: values over the mean size of the first row's percentiles 1 and 99, brought between -1 and 1 by the logistic curve of base 2."""
+    first = power.agg(F.min("i").alias("i"))
+    edge = power.join(F.broadcast(first), "i").agg(((F.abs(F.percentile(value, 0.01)) + F.abs(F.percentile(value, 0.99))) / 2).alias("_f"))  # one row
+    return power.crossJoin(F.broadcast(edge)).withColumn("resonance", F.tanh(F.col(value) / F.nullif(F.col("_f"), F.lit(0.0)) * (math.log(2) / 2))).drop("_f")
+
+
 def mean_field(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
     """Adds ``field``: twice the product of row and column mean over their sum."""
     r, c = F.avg(value).over(Window.partitionBy(row)), F.avg(value).over(Window.partitionBy(column))

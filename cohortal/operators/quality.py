@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortal.functions.numeric import normal_upper_tail
-from cohortal.operators.order import in_order, running
+from cohortal.functions.numeric import average_rank, normal_upper_tail
+from cohortal.operators.order import in_order, placed_rows, running, with_totals
+
 
 def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """tp, fp, fn, tn over ordered pairs of rows, from the contingency table alone; tn also counts each row with itself."""
@@ -54,20 +57,20 @@ def dunn_index(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.agg((F.min(F.when(F.col("a") != F.col("b"), F.col("d"))) / F.max(F.when(F.col("a") == F.col("b"), F.col("d")))).alias("dunn"))
 
 
-def histogram_auc(bins: DataFrame) -> DataFrame:
-    """auc, se (Hanley and McNeil) from bin, n_in, n_out, bins in order."""
-    up = Window.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
-    down = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+def histogram_auc(bins: DataFrame, *by: str) -> DataFrame:
+    """auc, se (Hanley and McNeil) from bin, n_in, n_out, bins in order; with ``by``, of each histogram."""
+    up = Window.partitionBy(*by).orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
+    down = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     x = bins.withColumn("above", F.coalesce(F.sum("n_out").over(up), F.lit(0))).withColumn("below", F.coalesce(F.sum("n_in").over(down), F.lit(0)))
     a, n = F.col("above"), F.col("n_out")
     b, m = F.col("below"), F.col("n_in")
-    g = x.agg(
+    g = x.groupBy(*by).agg(
         F.sum(m * a + 0.5 * m * n).alias("w"), F.sum("n_in").alias("ni"), F.sum("n_out").alias("no"),
         F.sum(m * (a * a + a * n + n * n / 3)).alias("q2"), F.sum(n * (b * b + b * m + m * m / 3)).alias("q1"),
     )
     auc, q1, q2 = F.col("w") / (F.col("ni") * F.col("no")), F.col("q1") / (F.col("no") * F.col("ni") * F.col("ni")), F.col("q2") / (F.col("ni") * F.col("no") * F.col("no"))
     se = F.sqrt((auc * (1 - auc) + (F.col("ni") - 1) * (q1 - auc * auc) + (F.col("no") - 1) * (q2 - auc * auc)) / (F.col("ni") * F.col("no")))
-    return g.select(auc.alias("auc"), se.alias("se"))
+    return g.select(*by, auc.alias("auc"), se.alias("se"))
 
 
 def curve_auc(bins: DataFrame) -> DataFrame:
@@ -101,10 +104,53 @@ def label_distance_test(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def distance_histogram(pairs: DataFrame, labels: DataFrame, bins: int) -> DataFrame:
     """bin, n_in, n_out: pairs within and between clusters by rank of their distance, in equally filled bins."""
     named = pairs.join(labels.select(F.col("item").alias("i"), F.col("label").alias("a")), "i").join(labels.select(F.col("item").alias("j"), F.col("label").alias("b")), "j")
-    binned = named.withColumn("bin", F.floor((F.row_number().over(Window.orderBy("d", "i", "j")) - 1) * bins / F.count("*").over(Window.partitionBy())).cast("int"))
+    binned = placed_rows(named, "d", "i", "j").withColumn("bin", F.floor((F.col("_r") - 1) * bins / F.col("_m")).cast("int"))
     return binned.groupBy("bin").agg(F.count(F.when(F.col("a") == F.col("b"), 1)).alias("n_in"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("n_out"))
 
 
+def _filled(items: Column, fraction: float) -> Column:
+    """How many ranks a bin takes, from the number of items."""
+    return F.bround(items * fraction) + 1
+
+
+def rank_histogram(pairs: DataFrame, labels: DataFrame, fraction: float = 0.1) -> DataFrame:
+    """bin, n_in, n_out: pairs within and between labels by average rank of their distance, ``fraction`` of the number of items and one to a bin, the first bin from rank 0."""
+    side = lambda k: labels.select(F.col("item").alias(k), F.col("label").alias("l" + k))
+    same = F.col("li") == F.col("lj")
+    counts = pairs.join(side("i"), "i").join(side("j"), "j").groupBy("d").agg(F.count(F.when(same, 1)).alias("n_in"), F.count(F.when(~same, 1)).alias("n_out"))
+    upto = running(in_order(counts, "d"), ["d"], sums={"_upto": F.col("n_in") + F.col("n_out")})
+    rank = F.col("_upto") - (F.col("n_in") + F.col("n_out") - 1) / 2.0
+    size = labels.agg(_filled(F.count("*"), fraction).alias("_l"))
+    binned = upto.crossJoin(F.broadcast(size)).select(F.floor(rank / F.col("_l")).cast("long").alias("bin"), "n_in", "n_out")  # one row
+    none = labels.agg(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("n_in"), F.lit(0).cast("long").alias("n_out"))
+    return binned.unionByName(none).groupBy("bin").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
+
+
+def immersiveness(neighbours: DataFrame, labels: DataFrame, fraction: float = 0.1) -> DataFrame:
+    """item, auc, se: how well small distance from an item tells its own label, itself included. ``neighbours``: i, j, d, both ways."""
+    itself = labels.select(F.col("item").alias("i"), F.col("item").alias("j"), F.lit(0.0).alias("d"))
+    side = lambda k: labels.select(F.col("item").alias(k), F.col("label").alias("l" + k))
+    named = neighbours.select("i", "j", "d").unionByName(itself).join(side("i"), "i").join(side("j"), "j")
+    size = labels.agg(_filled(F.count("*"), fraction).alias("_l"))
+    binned = named.withColumn("_rank", average_rank("d", "i")).crossJoin(F.broadcast(size)).withColumn("bin", F.floor(F.col("_rank") / F.col("_l")))  # one row
+    bins = binned.groupBy(F.col("i").alias("item"), "bin").agg(F.count(F.when(F.col("li") == F.col("lj"), 1)).alias("n_in"), F.count(F.when(F.col("li") != F.col("lj"), 1)).alias("n_out"))
+    return histogram_auc(bins, "item")
+
+
+def segments(points: DataFrame, radius: float = 0.0, turn: float = 0.0, centers: int = 4, merged: bool = False) -> DataFrame:
+    """item, label: points (item, x, y), turned about the origin, by rounded angle and by whether they lie outside a radius.
+
+    With ``merged`` all points inside the radius are one segment.
+    """
+    x, y = F.col("x") * math.cos(turn) - F.col("y") * math.sin(turn), F.col("x") * math.sin(turn) + F.col("y") * math.cos(turn)
+    angle = F.bround(F.atan2(x, y) / math.pi / 2 * centers)
+    part = F.when(F.abs(angle) < math.sqrt(centers), angle).otherwise(F.abs(angle)).cast("long")
+    out = F.when(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) > radius, 1).otherwise(0)
+    both = with_totals(points.select("item", part.alias("_p"), out.alias("_o")), _least=F.min("_p"), _parts=F.count_distinct("_p"))
+    label = (F.col("_p") - F.col("_least") + 1) * F.col("_o") if merged else F.col("_p") - F.col("_least") + F.col("_o") * F.col("_parts")
+    return both.select("item", label.alias("label"))
+
+
 def happiness(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     """item, happiness: the share of neighbours (i, j) with the item's own label."""
     named = neighbours.join(labels.select(F.col("item").alias("i"), F.col("label").alias("a")), "i").join(labels.select(F.col("item").alias("j"), F.col("label").alias("b")), "j")

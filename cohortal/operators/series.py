@@ -21,6 +21,15 @@ def lagged(df: DataFrame, n: int = 1, by: str = "series_id", pos: str = "pos", v
     return x.withColumns({"total": F.col("_a") + F.col(value), "change": F.col("_a") - F.col(value), "contrast": (F.col("_a") - F.col(value)) / F.nullif(F.col("_a") + F.col(value), F.lit(0.0))}).drop("_a")
 
 
+def lag_contrasts(df: DataFrame, by: str = "series_id", pos: str = "pos", value: str = "value") -> DataFrame:
+    """series, pos, contrast: contrasts of each value with every later one, summed and divided by the length of the series. A series is one row's list."""
+    one = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))).alias("_s"))
+    later = lambda x, k: F.filter("_s", lambda _, m: m > k)
+    total = lambda x, k: F.aggregate(later(x, k), F.lit(0.0), lambda s, y: s + (y["v"] - x["v"]) / F.nullif(y["v"] + x["v"], F.lit(0.0)))
+    held = F.transform("_s", lambda x, k: F.struct(x["p"].alias("p"), (total(x, k) / F.size("_s")).alias("c")))
+    return one.select(by, F.explode(held).alias("_c")).select(by, F.col("_c.p").alias(pos), F.col("_c.c").alias("contrast"))
+
+
 def autocorrelation(df: DataFrame, by: str = "series_id", pos: str = "pos", value: str = "value") -> DataFrame:
     """series, lag, r: circular autocorrelation of the mean-free series, 1 at lag 0, for the first half of the lags."""
     n = F.count("*").over(Window.partitionBy(by))

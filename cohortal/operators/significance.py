@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +40,13 @@ def _harmonic(m: Column) -> Column:
     return series - sum((1 / (m + k) for k in range(2, 9)), 1 / (m + 1.0))
 
 
-METHODS = ("bonferroni", "sidak", "holm", "holm-sidak", "hochberg", "fdr_bh", "fdr_by", "fdr_tsbh", "fdr_tsbky")
+METHODS = ("bonferroni", "sidak", "holm", "holm-sidak", "hochberg", "fdr_bh", "fdr_by", "fdr_tsbh", "fdr_tsbky", "hommel")
 
 
 def adjusted(df: DataFrame, method: str, p: str = "p", position: str = "pos", alpha: float = 0.05) -> DataFrame:
     """Adds ``adjusted`` by one of METHODS (hochberg is simes-hochberg). ``alpha`` is that of the two-stage methods' first stage."""
+    if method == "hommel":
+        return hommel(df, p, position)
     if method in ("fdr_tsbh", "fdr_tsbky"):
         factor = 1 + alpha if method == "fdr_tsbky" else 1.0
         first = settled(adjusted(df, "fdr_bh", p, position))
@@ -69,6 +73,59 @@ def adjusted(df: DataFrame, method: str, p: str = "p", position: str = "pos", al
     return base.withColumn("adjusted", F.least(F.lit(1.0), F.col("_step"))).drop("_m", "_r", "_step", "_part")
 
 
+#: Corners of the lower hull of ordered p-values that ``hommel`` sends to each task, at most.
+HULL = 1_000_000
+
+
+def _hull(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of the points' lower convex hull, by x."""
+    kept: list[int] = []
+    for k in np.argsort(x, kind="stable"):
+        while len(kept) > 1 and (y[kept[-1]] - y[kept[-2]]) * (x[k] - x[kept[-2]]) >= (y[k] - y[kept[-2]]) * (x[kept[-1]] - x[kept[-2]]):
+            kept.pop()
+        kept.append(k)
+    return x[kept], y[kept]
+
+
+def hommel(df: DataFrame, p: str = "p", position: str = "pos") -> DataFrame:
+    """Adds ``adjusted`` by Hommel's method; null where p is null.
+
+    The adjusted value is the largest, over numbers m of hypotheses, of the smaller of m p and q(m), m times the
+    least of p(n - m + k) / k. That least ratio is the slope of a tangent to the lower hull of the ordered p-values,
+    and falls as m grows: one running pass over ratios and p-values finds where m p is the smaller. Raises
+    if the hull has more than HULL corners.
+    """
+    known = settled(placed_rows(df.where(F.col(p).isNotNull()), p, position).drop("_part"))
+
+    def corners(batches):
+        x, y = np.empty(0), np.empty(0)
+        for b in batches:
+            x, y = _hull(np.concatenate([x, b["x"]]), np.concatenate([y, b["y"]]))
+        yield pd.DataFrame({"x": x, "y": y})
+
+    parts = known.select(F.col("_r").cast("double").alias("x"), F.col(p).cast("double").alias("y")).mapInPandas(corners, "x double, y double").limit(HULL + 1).toPandas()
+    if len(parts) > HULL:
+        raise ValueError(f"the hull of the p-values has more than {HULL} corners")
+    hx, hy = _hull(parts["x"].to_numpy(), parts["y"].to_numpy())
+    slope = np.diff(hy) / np.diff(hx)
+    meets = np.where(slope > 0, hx[:-1] - hy[:-1] / np.where(slope > 0, slope, 1.0), -np.inf)
+
+    def ratios(batches):
+        for b in batches:
+            start = b["n"].to_numpy() - b["m"].to_numpy()
+            at = np.searchsorted(meets, start, side="right")
+            ratio = hy[at] / (hx[at] - start)
+            yield pd.DataFrame({"_value": ratio, "_q": ratio * b["m"]})
+
+    tangents = known.select(F.col("_r").cast("double").alias("m"), F.col("_m").cast("double").alias("n")).mapInPandas(ratios, "_value double, _q double")
+    both = known.withColumns({"_value": F.col(p).cast("double"), "_kind": F.lit(0)}).unionByName(tangents.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    order = ["_value", "_kind"]
+    passed = running(in_order(both, *order), order, sums={"_below": F.col("_kind")}, greatest={"_most": F.col("_q")})
+    value = F.greatest((F.col("_m") - F.coalesce("_below", F.lit(0))) * F.col(p), F.coalesce("_most", F.lit(0.0)))
+    out = passed.where("_kind = 0").withColumn("adjusted", F.least(F.lit(1.0), value)).select(*df.columns, "adjusted")
+    return out.unionByName(df.where(F.col(p).isNull()).withColumn("adjusted", F.lit(None).cast("double")))
+
+
 def normal_p_values(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds ``p``, the upper normal tail by the column's own mean and population deviation, and ``r``, the fractional average rank."""
     both = with_totals(tied_ranks(df, value), _mean=F.avg(value), _deviation=F.stddev_pop(value))

@@ -81,6 +81,34 @@ def compartments(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\[(.*?)\]"), F.lit(1))
 
 
+def node_gmt_lines(edges: DataFrame, groups: DataFrame, levels: DataFrame) -> DataFrame:
+    """line: a node, then parents, description, level and metric with colons between, then its members, with tabs between.
+
+    ``groups``: id, description, metric, members; ``levels``: id, level. What is null is left empty.
+    """
+    parents = edges.groupBy(F.col("child").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("parent")), ":").alias("_up"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    middle = F.concat(text("_up"), F.lit(":"), text("description"), F.lit(":"), text("level"), F.lit(":"), text("metric"))
+    return levels.join(groups, "id", "left").join(parents, "id", "left").select(F.concat_ws("\t", F.col("id"), middle, F.array_join("members", "\t")).alias("line"))
+
+
+def linkage_lines(levels: DataFrame, metrics: DataFrame) -> DataFrame:
+    """line: each node (id, level) with its metric (id, metric) or, without one, its level."""
+    value = F.coalesce(F.col("metric").cast("double"), F.col("level").cast("double"))
+    return levels.join(metrics, "id", "left").select(F.format_string('["cluster":%s, "metric":%.6f]', F.col("id"), value).alias("line"))
+
+
+def write_levels(table: DataFrame, path: str, level: str) -> None:
+    """One folder a level."""
+    table.write.partitionBy(level).parquet(path)
+
+
+def read_levels(spark: SparkSession, path: str, level: str, of: list | None = None) -> DataFrame:
+    """All levels, or those asked for, which alone are read."""
+    df = spark.read.parquet(path)
+    return df if of is None else df.where(F.col(level).isin(of))
+
+
 def node_json(nodes: DataFrame) -> DataFrame:
     """One JSON line a node."""
     return nodes.select(F.to_json(F.struct(*nodes.columns)).alias("value"))
