@@ -151,7 +151,7 @@ def shared_and_own(spark: SparkSession, d: str) -> DataFrame:
     """Sizes and brands that two types share, and those of one alone."""
     of = lambda t: D.read(spark, d, "part").where(F.col("p_type") == t).select(F.col("p_size").cast("long").alias("p_size"), "p_brand")
     named = lambda kind, df: df.select(F.lit(kind).alias("kind"), "p_size", "p_brand")
-    return named("both", of("ECONOMY").intersect(of("STANDARD"))).unionByName(named("one", of("ECONOMY").exceptAll(of("STANDARD").distinct()).distinct().join(of("STANDARD"), ["p_size", "p_brand"], "left_anti")))
+    return named("both", of("ECONOMY").intersect(of("STANDARD"))).unionByName(named("one", of("ECONOMY").subtract(of("STANDARD"))))
 
 
 @query(f"""WITH {DAILY}, n AS (SELECT series_id, count(*) AS n FROM daily GROUP BY 1)
