@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A word, and what lies between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whether Spark deletes the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,11 +52,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, folder: str | None = None, *by: str) -> DataFrame:
-    """The same rows, cut off from their lineage: written as Parquet to the shared folder and read back."""
+    """The same rows, cut off from their lineage: written as Parquet to the shared folder and read back.
+
+    What was shuffled for them is deleted at once. Spark would keep it until the driver happens to collect garbage.
+    """
     spark = df.sparkSession
     folder = folder or shared_folder(spark)
     out = df.write.option("compression", "zstd")
-    (out.partitionBy(*by) if by else out).parquet(folder)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (out.partitionBy(*by) if by else out).parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import numpy as np
 from cohortal.llm import near_duplicates as N
@@ -119,3 +121,17 @@ def test_long_texts_and_graphs_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK_BYTES", 1000)
     monkeypatch.setattr(N, "SMALL_GRAPH", -1)
     check(spark, rows)
+
+
+def test_shuffled_rows_of_finished_steps_are_deleted(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, folders = spark.conf.get(setting, None), [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    for _ in range(8):
+        before = files()
+        rows = N.written(spark.range(1000).repartition(3, "id"))
+        until = time.time() + 1
+        while files() - before and time.time() < until:
+            time.sleep(0.02)
+        assert not files() - before and rows.count() == 1000
+    assert spark.conf.get(setting, None) == was
