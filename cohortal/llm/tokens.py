@@ -11,6 +11,7 @@ the ids equal ``Tokenizer.encode(text, add_special_tokens=False)``; tests compar
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -29,7 +30,9 @@ BLOCK_BYTES = 6_000_000
 _UNUSUAL = r"  |\n\n| \n|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _CUT = "\x1f"
 #: ASCII punctuation but the apostrophe, of which the patterns make words with letters.
-_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+_MARKS = r"[!-&(-/:-@\[-`{-~]"
+#: Latin letters up to _LATIN_END, without the dotted capital I, which is two characters in lower case.
+_LETTER = r"[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]"
 _LATIN_END = "\u024f"
 
 
@@ -58,12 +61,16 @@ class Encoder:
         self._added = "|".join(re.escape(t.content) for t in self._tok.get_added_tokens_decoder().values()) or r"[^\s\S]"
         self._keeps_space = keeps_space
         self._model = self._tok.model
+        self._latin = rf"^(?P<word>{' ?' if keeps_space else ''}{_LETTER}+)(?P<marks>{_MARKS}*)$"
         self._suffix = functools.cache(lambda marks: self._tok.encode(marks, add_special_tokens=False).ids)
         from tokenizers.pre_tokenizers import ByteLevel
 
         show = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        #: How the library shows each byte of a non-ASCII Latin letter.
-        self._shown = {b: x for c in map(chr, range(0x80, ord(_LATIN_END) + 1)) for b, x in zip(c.encode(), show(c)[0][0])}
+        #: How the library shows each byte: those of non-ASCII Latin letters, and a space in front of a word.
+        self._shown = np.arange(256, dtype="<u4")
+        for c in map(chr, range(0x80, ord(_LATIN_END) + 1)):
+            self._shown[list(c.encode())] = [ord(x) for x in show(c)[0][0]]
+        self._shown[0x20] = ord(show(" ")[0][0])
         self._reset()
 
     def _reset(self) -> None:
@@ -73,31 +80,37 @@ class Encoder:
         self._lens = np.zeros(1 << 12, np.int64)
         self._used = self._known = 0
 
-    def _word(self, piece: str) -> list[int] | None:
-        """Ids of a Latin word with punctuation behind it, by the library's model alone; None for any other piece.
+    def _words(self, pieces: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
+        """Places and ids of the Latin words with punctuation behind them, by the library's model alone.
 
         Such a piece is one or two words to the pattern, and normal form leaves it as it is.
         """
-        word = piece.rstrip(_MARKS)
-        space = self._keeps_space and word[:1] == " "
-        core = word[1:] if space else word
-        if not core.isalpha() or max(core) > _LATIN_END:
-            return None
+        cut = pc.extract_regex(pieces, self._latin)
+        places = np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False))
+        if not len(places):
+            return places, []
+        word, marks = cut.take(pa.array(places)).flatten()
+        # One string of all words: a call for all of them instead of some for each.
+        shown = "\n".join(word.to_numpy(zero_copy_only=False))
         if not self._keeps_space:
-            core = core.lower()
-            if not core.isalpha():
-                return None
-        shown = core if core.isascii() else core.encode().decode("latin-1").translate(self._shown)
-        ids = [t.id for t in self._model.tokenize("\u0120" + shown if space else shown)]
-        return ids + self._suffix(piece[len(word) :]) if len(word) < len(piece) else ids
-
-    def _learn(self, pieces: list[str]) -> None:
-        got = [self._word(p) for p in pieces]
+            shown = shown.lower()
+        shown = self._shown[np.frombuffer(shown.encode(), np.uint8)].tobytes().decode("utf-32-le")
+        tokenize = self._model.tokenize
+        got = [[t.id for t in tokenize(w)] for w in shown.split("\n")]
+        for i in np.flatnonzero(pc.binary_length(marks).to_numpy()):
+            got[i] += self._suffix(marks[i].as_py())
+        return places, got
+
+    def _learn(self, pieces: pa.Array) -> None:
+        names = pieces.to_numpy(zero_copy_only=False).tolist()
+        got: list = [None] * len(names)
+        for i, ids in zip(*self._words(pieces)):
+            got[i] = ids
         rest = [i for i, ids in enumerate(got) if ids is None]
-        for i, enc in zip(rest, self._tok.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+        for i, enc in zip(rest, self._tok.encode_batch_fast([names[i] for i in rest], add_special_tokens=False)):
             got[i] = enc.ids
         lens = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum()))
+        ids = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(lens.sum()))
         end, known = self._used + len(ids), self._known + len(got)
         if end > len(self._pool):
             self._pool = np.concatenate([self._pool[: self._used], np.empty(end, np.uint32)])
@@ -107,7 +120,7 @@ class Encoder:
         self._pool[self._used : end] = ids
         self._lens[self._known : known] = lens
         self._starts[self._known : known] = self._used + np.cumsum(lens) - lens
-        self._memo.update(zip(pieces, range(self._known, known)))
+        self._memo.update(zip(names, range(self._known, known)))
         self._used, self._known = end, known
 
     def _block(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -123,18 +136,20 @@ class Encoder:
             texts = pc.replace_substring(pc.replace_substring(texts, " ", _CUT + " "), "\n", _CUT + "\n" + _CUT)
             lists = pc.split_pattern(texts, _CUT)
         else:
-            # This vocabulary drops white space and case; a letter and punctuation are never one token.
+            # This vocabulary drops white space and case; a Latin letter and punctuation are never one token.
+            # Other letters may end in a mark in normal form or lower case, which is one with punctuation.
             texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
-            lists = pc.split_pattern(pc.replace_substring_regex(texts, r"(\pL)([,.])", r"\1 \2"), " ")
+            lists = pc.split_pattern(pc.replace_substring_regex(texts, f"({_LETTER})([,.])", r"\1 \2"), " ")
         coded = lists.flatten().dictionary_encode()
         if len(self._memo) > MEMO_PIECES:
             self._reset()
-        distinct = coded.dictionary.to_pylist()
-        index = list(map(self._memo.get, distinct))
-        if None in index:
-            self._learn([p for p, k in zip(distinct, index) if k is None])
-            index = list(map(self._memo.get, distinct))
-        at = np.array(index, np.int64)[coded.indices.to_numpy()]
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        index = np.fromiter(map(self._memo.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            index[new] = np.arange(self._known, self._known + len(new))
+            self._learn(coded.dictionary.take(pa.array(new)))
+        at = index[coded.indices.to_numpy()]
         n = self._lens[at]
         ids = self._pool[ragged(self._starts[at], n)]
         ends = np.concatenate([[0], np.cumsum(n)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]

@@ -33,6 +33,25 @@ def test_encoder_equals_library(texts, name, space, monkeypatch):
     assert got == [reference(name, t) for t in more]
 
 
+@pytest.mark.parametrize("name,space", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_pieces_are_looked_up_once(name, space):
+    class Memo(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    letters = [chr(c) for c in range(0xA0, 0x260)]
+    more = [f"{c}x A{c} {c}{c}, n{c}. {c}!?' {c}'s" for c in letters] + [f"end{m} {m}of E{m}x' y{m}{m}'" for m in map(chr, range(33, 127))]
+    more += ["\u0f5c, x", "\u0a59.", "\u0958,y", "\ufb2a. z"]  # letters that are a letter and a mark in normal form
+    enc = T.Encoder(T.vocabulary_path(name), space)
+    enc._memo = Memo()
+    got = [x.tolist() for x in enc.encode(pa.array(more))]
+    assert got == [reference(name, t) for t in more]
+    assert enc._memo.asked == len(enc._memo)
+
+
 def test_store_round_trip(spark, docs, texts, tmp_path):
     path = str(tmp_path / "store")
     S.write_store(docs, path, T.vocabulary_path("word_bpe_49k.json"))
