@@ -244,3 +244,11 @@ def test_nothing_stops_silently(spark, monkeypatch):
     points = spark.createDataFrame([(i, [float(i)]) for i in range(9)], "item long, vec array<double>")
     with pytest.raises(ValueError, match="still changes"):
         K.seeded_kmeans(points, [[0.0], [1.0]], rounds=1)
+
+
+def test_window_means_do_not_depend_on_order(spark):
+    rows = [("a", 1e8), ("a", 0.01), ("a", -1e8), ("b", 1e300), ("b", 1e300), ("c", None), ("d", float("nan")), ("d", 1.0)]
+    events = spark.createDataFrame(rows, "event_type string, value double").withColumn("ts", F.lit("2024-01-01 01:00:00"))
+    got = {r.series_id: (r.n, r.value) for r in windows.windowed(events.coalesce(1)).collect()}
+    assert got["a"] == (3, 0.01 / 3) and got["b"] == (2, 1e300) and got["c"] == (1, None)
+    assert got["d"][0] == 2 and got["d"][1] != got["d"][1]
