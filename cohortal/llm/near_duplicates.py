@@ -3,12 +3,14 @@
 Texts with the same set of shingles are one class from the start. MinHash samples
 of a class are banded, and folded into an odd sketch: a bitmap in which each
 sample flips one bit, so that the population count of the XOR of two sketches
-estimates how many samples differ. In a bucket, members that sketches call alike
+estimates how many samples differ. Most buckets hold one class; a first pass with
+short ids leaves them out. In a bucket, members that sketches call alike
 are joined to a forest, never emitted as all pairs, and each edge is confirmed on
 full sets. If all hold, the forest connects what can be linked. Where an edge does
 not hold and its ends are still apart, the bucket's members come together once
 more with their full sets, and those outside its largest component are held
-against all others, exactly; only links leave the task.
+against all others, exactly; only links leave the task. Buckets with the same
+members come together once, and a lone pair that failed not at all.
 """
 
 from __future__ import annotations
@@ -219,6 +221,13 @@ def _edges(bucket: np.ndarray, key: pa.ChunkedArray, pairs: list[tuple[int, int]
     return pa.RecordBatch.from_arrays([pa.array(bucket[i]), pc.if_else(ordered, x, y), pc.if_else(ordered, y, x)], ["bucket", "a", "b"])
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, id to the rows of buckets with two members or more."""
+    for rows in _buckets(batches):
+        starts, ends = _ranges(rows["bucket"].to_numpy())
+        yield from rows.filter(pa.array(np.repeat(ends - starts > 1, ends - starts))).to_batches()
+
+
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """bucket, key, sketch to the edges of each bucket's forest."""
     for rows in _buckets(batches):
@@ -330,6 +339,13 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(found.groupBy("key").agg(F.first("shingles").alias("shingles")))
 
 
+def _looked_at(members: DataFrame) -> DataFrame:
+    """bucket, key of the buckets to look at again. Two members alone are the edge that failed; buckets with the same members, told by 128 bits, count once."""
+    members = written(members.distinct())
+    alike = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
+    return members.join(alike.where("n > 2").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")), "bucket", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), small_graph: int | None = None) -> DataFrame:
     """The near-duplicate component of every document.
 
@@ -345,10 +361,14 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), small_graph: i
     """
     rows = written(profile(docs, carry))
     classes = written(rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    buckets = classes.select(F.explode("bands").alias("bucket"), "key", "sketch")
     n = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
     schema = "bucket bigint, a binary, b binary"
-    candidates = written(buckets.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_forests, schema))
+    # Most buckets hold one class, so the first pass deals out short ids; classes that share an id are only held against each other in vain.
+    id_ = F.xxhash64("key").alias("id")
+    met = dealt(classes.select(F.explode("bands").alias("bucket"), id_)).mapInArrow(_met, "bucket bigint, id bigint")
+    members = written(met.join(classes.select(id_, "key", "sketch"), "id").select("bucket", "key", "sketch"))
+    candidates = written(dealt(members).mapInArrow(_forests, schema))
     wanted = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
     sets = _sets(docs, wanted)
 
@@ -370,10 +390,10 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), small_graph: i
     label = components(tested.where("linked"), small_graph)
     # Where an edge failed and its ends are still apart, full sets decide between all components of the bucket.
     failed = tested.where(~F.col("linked")).select("a", "b")
-    again = written(apart(candidates.join(failed, ["a", "b"], "left_semi"), label).select("bucket").distinct())
-    members = classes.select(F.explode("bands").alias("bucket"), "key").join(again, "bucket", "left_semi")
-    members = members.join(label.select(F.col("node").alias("key"), "component"), "key", "left").join(sets, "key").select("bucket", "key", F.coalesce("component", "key").alias("component"), "shingles")
-    more = written(members.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_links, schema).select("a", "b").distinct())
+    again = apart(candidates.join(failed, ["a", "b"], "left_semi"), label).select("bucket").distinct()
+    held = written(_looked_at(members.select("bucket", "key").join(again, "bucket", "left_semi").join(sets.select("key"), "key", "left_semi")))
+    held = held.join(label.select(F.col("node").alias("key"), "component"), "key", "left").join(sets, "key").select("bucket", "key", F.coalesce("component", "key").alias("component"), "shingles")
+    more = written(dealt(held).mapInArrow(_links, schema).select("a", "b").distinct())
     if not more.isEmpty():
         label = components(tested.where("linked").select("a", "b").unionByName(more), small_graph)
 

@@ -135,3 +135,38 @@ def test_shuffled_rows_of_finished_steps_are_deleted(spark):
             time.sleep(0.02)
         assert not files() - before and rows.count() == 1000
     assert spark.conf.get(setting, None) == was
+
+
+def test_second_look_spares_pairs_that_failed(spark):
+    """Pairs just under the threshold share buckets, alone; their sets are not dealt out once more for each of these."""
+    rng, rows = random.Random(11), []
+    for pair in range(60):
+        words = [f"p{pair}w{rng.random()}" for i in range(3000)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(words[:2460] + [f"{w}x" for w in words[2460:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = shuffled()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(docs).collect()}
+    assert got == brute(rows) and len({c for _, c in got.values()}) == len(rows)
+    assert shuffled() - before < 7 * 8 * sum(n for n, _ in got.values())
+
+
+def test_buckets_looked_at_again(spark):
+    lists = {1: "ab", 2: "abc", 3: "cba", 4: "abd", 5: "abcd", 6: "dbca", 7: "cd"}
+    members = spark.createDataFrame([(b, k.encode()) for b, keys in lists.items() for k in keys], "bucket long, key binary")
+    found = {}
+    for r in N._looked_at(members).collect():
+        found.setdefault(r.bucket, set()).add(bytes(r.key).decode())
+    assert found == {2: set("abc"), 4: set("abd"), 5: set("abcd")}
+
+
+def test_classes_that_share_an_id(spark, monkeypatch):
+    real, rng, rows = N.F.xxhash64, random.Random(12), []
+    monkeypatch.setattr(N.F, "xxhash64", lambda *c: real(*c) % 5 if len(c) == 1 else real(*c))
+    for family in range(8):
+        words = [f"f{family}w{i}" for i in range(100)]
+        for _ in range(6):
+            words = list(words)
+            words[rng.randrange(100)] = f"n{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    check(spark, rows)
