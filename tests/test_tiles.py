@@ -37,6 +37,7 @@ def sizes(spark, tmp_path_factory):
 COARSE = {"segment_auc", "auc_distances", "auc_trapezoid", "label_distance_test", "rank_histogram", "uncursed", "connectedness", "dbscan", "dbscan_border"}
 GROWING = [
     "segment_auc",
+    "auc_distances",
 ]
 
 
@@ -66,3 +67,25 @@ def table(spark, x, labels=None):
 
 def distances(x):
     return {(i, j): math.dist(x[i], x[j]) if x[i] and x[j] else None for i, j in itertools.combinations(range(len(x)), 2)}
+
+
+def test_auc_of_many_pairs(spark):
+    bins = spark.createDataFrame([(0, 3_000_000_000, 2_000_000_000), (1, 1_000_000_000, 4_000_000_000)], "bin int, n_in long, n_out long")
+    r = Q.histogram_auc(bins).first()
+    assert math.isclose(r.auc, (3 * 4 + 0.5 * (3 * 2 + 1 * 4)) / (4 * 6)) and 0 < r.se < 1e-4
+
+
+@pytest.mark.parametrize("bins", [3, 20])
+def test_filled_bins_with_ties(spark, small_tiles, bins):
+    rng = np.random.default_rng(3)
+    x = [v.tolist() for v in rng.integers(0, 2, (40, 3)).astype(float)] + [None, [0.1, 0.2, 0.3]]
+    labels = [*rng.integers(0, 3, 41).tolist(), None]
+    far = distances(x)
+    order = sorted(far, key=lambda p: (far[p] is None, far[p] or 0.0, p))
+    want = {}
+    for r, (i, j) in enumerate(order):
+        n = want.setdefault(r * bins // len(order), [0, 0])
+        if None not in (labels[i], labels[j]):
+            n[labels[i] != labels[j]] += 1
+    got = {r.bin: [r.n_in, r.n_out] for r in Q.filled_histogram(table(spark, x, labels), bins).collect()}
+    assert got == want
