@@ -38,6 +38,7 @@ COARSE = {"segment_auc", "auc_distances", "auc_trapezoid", "label_distance_test"
 GROWING = [
     "segment_auc",
     "auc_distances",
+    "average_linkage",
 ]
 
 
@@ -89,3 +90,22 @@ def test_filled_bins_with_ties(spark, small_tiles, bins):
             n[labels[i] != labels[j]] += 1
     got = {r.bin: [r.n_in, r.n_out] for r in Q.filled_histogram(table(spark, x, labels), bins).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("method", K.LINKAGES)
+def test_linkage_of_points(spark, method):
+    x = [v.tolist() for v in np.random.default_rng(6).integers(0, 4, (30, 2)).astype(float)] + [[9.0, 9.5]]  # with ties
+    points = table(spark, x)
+    pairs = spark.createDataFrame([(i, j, d) for (i, j), d in distances(x).items()], "i long, j long, d double")
+    one, other = (sorted(df.collect()) for df in (K.linkage_of_points(points, method), K.stepwise_linkage(pairs, method)))
+    assert one == other and len(one) == 30 and one[-1].members == list(range(31))
+    d = np.full((31, 31), np.inf)
+    for (i, j), far in distances(x).items():
+        d[i, j] = d[j, i] = far
+    groups, n = {k: [k] for k in range(31)}, np.ones(31)
+    for r in one if method in ("min", "max") else ():
+        a, b = sorted(np.unravel_index(d.argmin(), d.shape))
+        groups[a] = sorted(groups[a] + groups.pop(b))
+        assert (r.members, r.height) == (groups[a], d[a, b])
+        d[a] = d[:, a] = (np.minimum if method == "min" else np.maximum)(d[a], d[b])
+        d[b] = d[:, b] = d[a, a] = np.inf
