@@ -39,6 +39,7 @@ GROWING = [
     "segment_auc",
     "auc_distances",
     "average_linkage",
+    "complete_linkage",
 ]
 
 
