@@ -40,6 +40,7 @@ GROWING = [
     "auc_distances",
     "average_linkage",
     "complete_linkage",
+    "auc_trapezoid",
 ]
 
 
