@@ -41,6 +41,7 @@ GROWING = [
     "average_linkage",
     "complete_linkage",
     "auc_trapezoid",
+    "connectedness",
 ]
 
 
