@@ -167,8 +167,7 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 SELECT item, coalesce(cluster, -1) AS cluster FROM points LEFT JOIN n USING (item)""")
 def dbscan(spark: SparkSession, d: str) -> DataFrame:
     """Density clusters of embeddings."""
-    items = D.points(spark, d).select("item")
-    return rounded(K.dbscan(pairs(spark, d), items, CUTOFF, 2))
+    return rounded(K.dbscan_of_points(D.points(spark, d), CUTOFF, 2))
 
 
 @query()

@@ -42,6 +42,7 @@ GROWING = [
     "complete_linkage",
     "auc_trapezoid",
     "connectedness",
+    "dbscan",
 ]
 
 
