@@ -43,6 +43,7 @@ GROWING = [
     "auc_trapezoid",
     "connectedness",
     "dbscan",
+    "dbscan_border",
 ]
 
 
