@@ -205,7 +205,7 @@ def compactness(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PAIRS} SELECT round(min(CASE WHEN la <> lb THEN d END) / max(CASE WHEN la = lb THEN d END), 6) AS dunn FROM pairs")
 def dunn(spark: SparkSession, d: str) -> DataFrame:
     """Dunn's index of labels."""
-    return rounded(Q.dunn_index(pairs(spark, d), D.points(spark, d).select("item", "label")), "dunn")
+    return rounded(Q.dunn_index_of_points(D.points(spark, d)), "dunn")
 
 
 _CELLS = "c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), t AS (SELECT sum(n) AS t, sum(n * n) AS ss FROM c), a AS (SELECT sum(n * n) AS sa FROM (SELECT sum(n) AS n FROM c GROUP BY lang)), b AS (SELECT sum(n * n) AS sb FROM (SELECT sum(n) AS n FROM c GROUP BY source))"

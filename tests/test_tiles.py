@@ -44,6 +44,7 @@ GROWING = [
     "connectedness",
     "dbscan",
     "dbscan_border",
+    "dunn",
 ]
 
 
