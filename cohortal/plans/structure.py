@@ -250,7 +250,7 @@ def auc_distances(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PAIRS}, {BOTH}, r AS (SELECT i, la, lb, rank() OVER (PARTITION BY i ORDER BY d) AS r FROM both_ways) SELECT i AS item, round(avg(CASE WHEN la = lb THEN 1.0 ELSE 0.0 END), 6) AS happiness FROM r WHERE r <= 5 GROUP BY 1")
 def happiness(spark: SparkSession, d: str) -> DataFrame:
     """Share of near neighbours with the own label."""
-    return rounded(Q.happiness(K.nearest_neighbours(pairs(spark, d), 5), D.points(spark, d).select("item", "label")), "happiness")
+    return rounded(Q.happiness(K.nearest_of_points(D.points(spark, d), 5), D.points(spark, d).select("item", "label")), "happiness")
 
 
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")

@@ -45,6 +45,7 @@ GROWING = [
     "dbscan",
     "dbscan_border",
     "dunn",
+    "happiness",
 ]
 
 
