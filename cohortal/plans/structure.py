@@ -193,7 +193,7 @@ def nn_graph(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PAIRS}, {BOTH}, r AS (SELECT i, lb, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM both_ways) SELECT i AS item, CAST(lb AS BIGINT) AS label, round(count(*) / 8, 6) AS share FROM r WHERE r <= 8 GROUP BY 1, 2")
 def knn_probability(spark: SparkSession, d: str) -> DataFrame:
     """Labels among the eight nearest."""
-    return rounded(K.label_shares(pairs(spark, d), D.points(spark, d).select("item", "label"), 8), "share")
+    return rounded(K.label_shares_of_points(D.points(spark, d), 8), "share")
 
 
 @query(f"WITH {PAIRS} SELECT CAST(least(la, lb) AS BIGINT) AS c1, CAST(greatest(la, lb) AS BIGINT) AS c2, round(avg(d), 6) AS mean, count(*) AS pairs FROM pairs GROUP BY 1, 2")

@@ -46,6 +46,7 @@ GROWING = [
     "dbscan_border",
     "dunn",
     "happiness",
+    "knn_probability",
 ]
 
 
