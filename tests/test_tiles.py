@@ -47,6 +47,7 @@ GROWING = [
     "dunn",
     "happiness",
     "knn_probability",
+    "label_distance_test",
 ]
 
 
