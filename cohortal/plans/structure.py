@@ -187,7 +187,7 @@ def hierarchy_levels(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PAIRS}, {BOTH}, r AS (SELECT i, j, d, rank() OVER (PARTITION BY i ORDER BY d) AS r FROM both_ways) SELECT i, j, round(d, 6) AS d FROM r WHERE r <= 5")
 def nn_graph(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest neighbours."""
-    return rounded(K.nearest_neighbours(pairs(spark, d), 5), "d")
+    return rounded(K.nearest_of_points(D.points(spark, d), 5), "d")
 
 
 @query(f"WITH {PAIRS}, {BOTH}, r AS (SELECT i, lb, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM both_ways) SELECT i AS item, CAST(lb AS BIGINT) AS label, round(count(*) / 8, 6) AS share FROM r WHERE r <= 8 GROUP BY 1, 2")

@@ -48,6 +48,7 @@ GROWING = [
     "happiness",
     "knn_probability",
     "label_distance_test",
+    "nn_graph",
 ]
 
 
@@ -118,3 +119,19 @@ def test_linkage_of_points(spark, method):
         assert (r.members, r.height) == (groups[a], d[a, b])
         d[a] = d[:, a] = (np.minimum if method == "min" else np.maximum)(d[a], d[b])
         d[b] = d[:, b] = d[a, a] = np.inf
+
+
+def test_nearest_and_bounds(spark, small_tiles):
+    rng = np.random.default_rng(4)
+    x = [v.tolist() for v in rng.integers(0, 3, (30, 9)).astype(float)] + [None]
+    far = distances(x)
+    both = far | {(j, i): d for (i, j), d in far.items()}
+    want = set()
+    for i in range(31):
+        mine = sorted((math.inf if both[i, j] is None else both[i, j]) for j in range(31) if j != i)
+        want |= {(i, j) for j in range(31) if j != i and (math.inf if both[i, j] is None else both[i, j]) <= mine[4]}
+    points = table(spark, x)
+    assert {(r.i, r.j) for r in K.nearest_of_points(points, 5).collect()} == want
+    known = {p: d for p, d in both.items() if d is not None}
+    r = K.clustering_bounds_of_points(points).first()
+    assert r.nearest == min(known.values()) and r.full == min(max(d for (i, _), d in known.items() if i == k) for k in range(30))
