@@ -49,6 +49,7 @@ GROWING = [
     "knn_probability",
     "label_distance_test",
     "nn_graph",
+    "pair_distance",
 ]
 
 
