@@ -199,7 +199,8 @@ def event_resonances(spark: SparkSession, d: str) -> DataFrame:
 SELECT bin, count(CASE WHEN same THEN 1 END) AS n_in, count(CASE WHEN NOT same THEN 1 END) AS n_out FROM b GROUP BY 1 UNION ALL SELECT 0, 0, 0 WHERE NOT EXISTS (SELECT 1 FROM b WHERE bin = 0)""")
 def rank_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of embeddings within and between labels by rank of their distance."""
-    return Q.rank_histogram(rounded(pairs(spark, d), "d"), D.points(spark, d).select("item", "label"))
+    points = D.points(spark, d)
+    return Q.ranked_counts(T.rounded_counts(points, "label"), points.select("item", "label"))
 
 
 @query(f"""WITH {PAIRS}, {BOTH}, n AS (SELECT round_even(count(*) * 0.1, 0) + 1 AS l FROM points), a AS (SELECT i, round(d, 6) AS d, la = lb AS same FROM both_ways UNION ALL SELECT item, 0, TRUE FROM points),

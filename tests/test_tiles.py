@@ -50,6 +50,7 @@ GROWING = [
     "label_distance_test",
     "nn_graph",
     "pair_distance",
+    "rank_histogram",
 ]
 
 
