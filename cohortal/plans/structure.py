@@ -270,7 +270,7 @@ def jaccard_groups(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PAIRS}, b AS (SELECT CAST(floor(d / 0.05) AS BIGINT) AS bin, count(*) AS pairs FROM pairs WHERE d < 2.0 GROUP BY 1) SELECT bin, pairs, round(pairs / (4.0 / 3 * pi() * (pow((bin + 1) * 0.05, 3) - pow(bin * 0.05, 3))), 4) AS density FROM b")
 def rdf_hist(spark: SparkSession, d: str) -> DataFrame:
     """Radial histogram of distances."""
-    return rounded(P.radial_histogram(pairs(spark, d), 40, 2.0), "density", places=4)
+    return rounded(P.radial_histogram_of_points(D.points(spark, d), 40, 2.0), "density", places=4)
 
 
 @query("SELECT n_regionkey, list_sort(list(DISTINCT n_name)) AS keys FROM nation GROUP BY 1")

@@ -51,6 +51,7 @@ GROWING = [
     "nn_graph",
     "pair_distance",
     "rank_histogram",
+    "rdf_hist",
 ]
 
 
