@@ -147,7 +147,7 @@ def uncursed(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PAIRS}, {BOTH} SELECT round(min(d), 6) AS nearest, round((SELECT min(m) FROM (SELECT max(d) AS m FROM both_ways GROUP BY i)), 6) AS \"full\" FROM pairs")
 def clustering_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Where anything, and where everything is connected."""
-    return rounded(K.clustering_bounds(pairs(spark, d)), "nearest", "full")
+    return rounded(K.clustering_bounds_of_points(D.points(spark, d)), "nearest", "full")
 
 
 _COMPONENTS = f"""WITH RECURSIVE {PAIRS}, e AS (SELECT i, j FROM pairs WHERE d <= {CUTOFF} UNION SELECT j, i FROM pairs WHERE d <= {CUTOFF}),

@@ -52,6 +52,7 @@ GROWING = [
     "pair_distance",
     "rank_histogram",
     "rdf_hist",
+    "clustering_bounds",
 ]
 
 
