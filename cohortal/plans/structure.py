@@ -199,7 +199,7 @@ def knn_probability(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PAIRS} SELECT CAST(least(la, lb) AS BIGINT) AS c1, CAST(greatest(la, lb) AS BIGINT) AS c2, round(avg(d), 6) AS mean, count(*) AS pairs FROM pairs GROUP BY 1, 2")
 def compactness(spark: SparkSession, d: str) -> DataFrame:
     """Mean distances within and between labels."""
-    return rounded(Q.compactness(pairs(spark, d), D.points(spark, d).select("item", "label")), "mean")
+    return rounded(Q.compactness_of_points(D.points(spark, d)), "mean")
 
 
 @query(f"WITH {PAIRS} SELECT round(min(CASE WHEN la <> lb THEN d END) / max(CASE WHEN la = lb THEN d END), 6) AS dunn FROM pairs")

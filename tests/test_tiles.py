@@ -53,6 +53,7 @@ GROWING = [
     "rank_histogram",
     "rdf_hist",
     "clustering_bounds",
+    "compactness",
 ]
 
 
