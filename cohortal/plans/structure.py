@@ -158,8 +158,7 @@ SELECT item, dense_rank() OVER (ORDER BY top) - 1 AS cluster FROM top"""
 @query(_COMPONENTS)
 def components(spark: SparkSession, d: str) -> DataFrame:
     """Connected components of embeddings at a cutoff."""
-    items = D.points(spark, d).select("item")
-    return rounded(K.connectivity(pairs(spark, d), items, CUTOFF))
+    return rounded(K.near_components(D.points(spark, d), CUTOFF))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, {BOTH}, core AS (SELECT i AS item FROM both_ways WHERE d < {CUTOFF} GROUP BY 1 HAVING count(*) >= 2), e AS (SELECT i, j FROM both_ways WHERE d <= {CUTOFF} AND i IN (SELECT item FROM core) AND j IN (SELECT item FROM core)),

@@ -54,6 +54,7 @@ GROWING = [
     "rdf_hist",
     "clustering_bounds",
     "compactness",
+    "components",
 ]
 
 
