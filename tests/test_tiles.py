@@ -55,6 +55,7 @@ GROWING = [
     "clustering_bounds",
     "compactness",
     "components",
+    "hierarchy_levels",
 ]
 
 
