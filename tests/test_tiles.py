@@ -56,6 +56,7 @@ GROWING = [
     "compactness",
     "components",
     "hierarchy_levels",
+    "immersiveness",
 ]
 
 
@@ -142,3 +143,13 @@ def test_nearest_and_bounds(spark, small_tiles):
     known = {p: d for p, d in both.items() if d is not None}
     r = K.clustering_bounds_of_points(points).first()
     assert r.nearest == min(known.values()) and r.full == min(max(d for (i, _), d in known.items() if i == k) for k in range(30))
+
+
+def test_ranked_bins_with_ties(spark, small_tiles):
+    rng = np.random.default_rng(7)
+    x = [v.tolist() for v in rng.integers(0, 2, (50, 9)).astype(float)]
+    labels = rng.integers(0, 3, 50).tolist()
+    points = table(spark, x, labels)
+    both = P.both_ways(P.pair_distances(points, "item", "vec"))
+    one, other = ({r["item"]: (r["auc"], r["se"]) for r in df.collect()} for df in (Q.immersiveness_of_points(points), Q.immersiveness(both, points.select("item", "label"))))
+    assert one.keys() == other.keys() and all(math.isclose(a, b, rel_tol=1e-12) for k in one for a, b in zip(one[k], other[k]))
