@@ -57,6 +57,7 @@ GROWING = [
     "components",
     "hierarchy_levels",
     "immersiveness",
+    "linkage_levels",
 ]
 
 
