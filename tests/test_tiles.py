@@ -58,6 +58,7 @@ GROWING = [
     "hierarchy_levels",
     "immersiveness",
     "linkage_levels",
+    "single_linkage",
 ]
 
 
@@ -154,3 +155,18 @@ def test_ranked_bins_with_ties(spark, small_tiles):
     both = P.both_ways(P.pair_distances(points, "item", "vec"))
     one, other = ({r["item"]: (r["auc"], r["se"]) for r in df.collect()} for df in (Q.immersiveness_of_points(points), Q.immersiveness(both, points.select("item", "label"))))
     assert one.keys() == other.keys() and all(math.isclose(a, b, rel_tol=1e-12) for k in one for a, b in zip(one[k], other[k]))
+
+
+def test_spanning_tree_with_copies(spark, small_tiles):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(40, 10)) * 100 + 300, 3)
+    x = [v.tolist() for v in np.concatenate([x, x[:10], x[:5] + 4e-6])]  # copies, and points hardly apart
+    heights, joined = [], {k: {k} for k in range(len(x))}
+    for (i, j), d in sorted(distances(x).items(), key=lambda p: p[1]):
+        if joined[i] is not joined[j]:
+            joined[i] |= joined[j]
+            heights.append(d)
+            for k in joined[j]:
+                joined[k] = joined[i]
+    got = sorted(r.d for r in K.spanning_tree_of_points(table(spark, x)).collect())
+    assert np.allclose(got, heights, rtol=0, atol=6e-7) and len(got) == len(x) - 1
