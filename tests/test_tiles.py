@@ -59,6 +59,7 @@ GROWING = [
     "immersiveness",
     "linkage_levels",
     "single_linkage",
+    "uncursed",
 ]
 
 
