@@ -92,10 +92,13 @@ SELECT p_partkey, l[64 * x + y + 1] AS place, x, y, list_transform([[0, 0], [0,
  list_transform([[0, 0], [-1, 0], [1, 0], [0, -1], [0, 1]], lambda s: l[64 * least(63, greatest(0, x + s[1])) + least(63, greatest(0, y + s[2])) + 1]) AS beside FROM p, l""")
 def hilbert_parts(spark: SparkSession, d: str) -> DataFrame:
     """Parts' places along Hilbert's curve by size and brand, the way back, and the places around and beside them."""
-    brand = F.substring("p_brand", 7, 10).cast("long")
-    x = D.read(spark, d, "part").select("p_partkey", N.hilbert_place(64, F.col("p_size"), brand).alias("place"))
+    parts = D.read(spark, d, "part").select("p_partkey", "p_size", F.substring("p_brand", 7, 10).cast("long").alias("brand"))
+    # The curve is followed once for each size and brand, not for each part.
+    x = parts.select(F.col("p_size").alias("_size"), F.col("brand").alias("_brand")).distinct().withColumn("place", N.hilbert_place(64, F.col("_size"), F.col("_brand")))
     at = N.hilbert_point(64, F.col("place"))
-    return x.select("p_partkey", "place", at["x"].alias("x"), at["y"].alias("y"), N.hilbert_neighbours(64, F.col("place")).alias("around"), N.hilbert_neighbours(64, F.col("place"), N.BESIDE, False).alias("beside"))
+    cells = x.select("_size", "_brand", "place", at["x"].alias("x"), at["y"].alias("y"), N.hilbert_neighbours(64, F.col("place")).alias("around"), N.hilbert_neighbours(64, F.col("place"), N.BESIDE, False).alias("beside"))
+    found = parts.join(cells, F.col("p_size").eqNullSafe(F.col("_size")) & F.col("brand").eqNullSafe(F.col("_brand")))
+    return found.select("p_partkey", "place", "x", "y", "around", "beside")
 
 
 @query("""WITH a AS (SELECT l_orderkey, list(l_partkey::VARCHAR ORDER BY l_linenumber, l_partkey) AS p FROM lineitem GROUP BY 1), s AS (SELECT l_orderkey, p, unnest(range(1, len(p) + 1)) AS a FROM a), t AS (SELECT l_orderkey, p, a, unnest(range(a, len(p) + 1)) AS b FROM s)

@@ -171,3 +171,8 @@ def test_spanning_tree_with_copies(spark, small_tiles):
                 joined[k] = joined[i]
     got = sorted(r.d for r in K.spanning_tree_of_points(table(spark, x)).collect())
     assert np.allclose(got, heights, rtol=0, atol=6e-7) and len(got) == len(x) - 1
+
+
+def test_curve_is_followed_once_a_cell(spark):
+    plan = catalog.queries()["hilbert_parts"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "aggregate(" not in plan.split("Join")[0]
