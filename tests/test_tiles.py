@@ -97,6 +97,25 @@ def test_auc_of_many_pairs(spark):
     assert math.isclose(r.auc, (3 * 4 + 0.5 * (3 * 2 + 1 * 4)) / (4 * 6)) and 0 < r.se < 1e-4
 
 
+@pytest.mark.parametrize("dense", [8, 1 << 22])
+def test_counts_of_distances_far_apart(dense, monkeypatch):
+    made = T._Counts()
+    monkeypatch.setattr(T, "DENSE", dense)
+    rng = np.random.default_rng(2)
+    every = [(np.array([0, 0, 268_000_000 + k % 3, 5 + k, 1 << 50]), rng.integers(0, 3, 5)) for k in range(20)] + [(rng.integers(268_000_000, 268_000_020, 50), rng.integers(0, 3, 50))]
+    got = {}
+    for batch in [b for cell, kind in every for b in made.add(cell, kind)] + list(made.rows()):
+        for cell, *n in zip(*(c.to_pylist() for c in batch.columns)):
+            got[cell] = [x + y for x, y in zip(got.get(cell, [0, 0, 0]), n)]
+    want = {}
+    for cell, kind in ((c, k) for block in every for c, k in zip(*(x.tolist() for x in block))):
+        n = want.setdefault(cell, [0, 0, 0])
+        n[2] += 1
+        if kind < 2:
+            n[kind] += 1
+    assert got == want
+
+
 @pytest.mark.parametrize("bins", [3, 20])
 def test_filled_bins_with_ties(spark, small_tiles, bins):
     rng = np.random.default_rng(3)
